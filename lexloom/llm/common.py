@@ -72,6 +72,19 @@ def id_fold(column: str, buckets: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(buckets)).cast("int")
 
 
+#: Row number that :func:`keyed` adds where ids can't tell rows apart.
+ROW = "__row"
+
+
+def keyed(docs: DataFrame, id_col: str) -> tuple[DataFrame, str]:
+    """``docs`` and a column that tells its rows apart: the id, or a row number (then in a written copy) if ids are missing
+    or repeated or aren't integers."""
+    odd = docs.groupBy(id_col).count().where((F.col("count") > 1) | F.col(id_col).isNull())
+    if docs.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long") and odd.isEmpty():
+        return docs, id_col
+    return write_scratch(docs.drop(ROW).withColumn(ROW, F.monotonically_increasing_id()), "keyed"), ROW
+
+
 def components(edges: DataFrame, left: str = "a", right: str = "b", max_rounds: int = 60) -> DataFrame:
     """Connected components of an edge list of longs: one row (node, root) per node that has an edge; root is the least node.
 

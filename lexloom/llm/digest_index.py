@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import scratch_path, write_scratch
+from lexloom.llm.common import ROW, keyed, scratch_path, write_scratch
 
 SCHEMA = "digest BINARY, keep_id BIGINT, batch STRING"
 
@@ -62,17 +62,13 @@ class DigestIndex:
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: DigestIndex | None = None) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; without ``index`` against a new, empty one."""
+    """The rows of ``docs`` that stay, with all their columns; without ``index`` against a new, empty one. Where ids are
+    missing or repeated, the last row of equal texts stays."""
     spark = docs.sparkSession
+    docs, key = keyed(docs, id_col)
     index = index or DigestIndex(spark, scratch_path(spark, "digest-index"))
-    stay = index.ingest(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__stay_id"), F.col("digest").alias("__stay_digest"))
-    stay = write_scratch(stay, "stay")
-    digest = F.unhex(F.sha2(F.coalesce(docs[text_col], F.lit("")).cast("binary"), 256))
-    found = docs.withColumn("__digest", digest)
-    out = found.join(stay, found[id_col].cast("long").eqNullSafe(stay["__stay_id"]) & (found["__digest"] == stay["__stay_digest"]), "left_semi")
-    if docs.groupBy(id_col).count().where("count > 1").isEmpty():
-        return out.drop("__digest")
-    return out.dropDuplicates([id_col, "__digest"]).drop("__digest")
+    stay = write_scratch(index.ingest(docs, key, text_col).where("kept").select(F.col("doc_id").alias("__stay")), "stay")
+    return docs.join(stay, docs[key] == stay["__stay"], "left_semi").drop(ROW)
 
 
 def op4_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from lexloom.llm import digest_index, hilbert
+from lexloom.llm import decontaminate, digest_index, hilbert, packing, simhash
 
 QUERIES = {
+    "op2_simhash_ball": simhash.op2_simhash_ball,
     "op4_digest_index": digest_index.op4_digest_index,
     "op6_hilbert_shards": hilbert.op6_hilbert_shards,
+    "op7_best_fit_packing": packing.op7_best_fit_packing,
+    "op10_spaced_seeds": decontaminate.op10_spaced_seeds,
 }
 
 ORACLES = {"op4_digest_index": digest_index.OP4_SQL}
