@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from lexloom.llm import decontaminate, digest_index, hilbert, packing, simhash
+from lexloom.llm import crf, decontaminate, digest_index, hilbert, packing, simhash, suffix_tree, toxicity
 
 QUERIES = {
+    "op1_suffix_tree": suffix_tree.op1_suffix_tree,
     "op2_simhash_ball": simhash.op2_simhash_ball,
     "op4_digest_index": digest_index.op4_digest_index,
+    "op5_deobfuscated_toxicity": toxicity.op5_deobfuscated_toxicity,
     "op6_hilbert_shards": hilbert.op6_hilbert_shards,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
+    "op9_crf_language": crf.op9_crf_language,
     "op10_spaced_seeds": decontaminate.op10_spaced_seeds,
 }
 

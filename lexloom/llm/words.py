@@ -10,15 +10,15 @@ import xxhash
 
 def ascii_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """(index of each word, bounds of the texts, distinct words): lower-case A-Z, cut at ASCII white space. Null counts as empty."""
-    return _index(pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, ""))), len(texts))
+    return indexed(pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, ""))), len(texts))
 
 
 def letter_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """As :func:`ascii_words`, but in lower case throughout, cut at whatever is neither a letter nor a digit."""
-    return _index(pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts, "")), "[^\\pL\\pM\\pN]+"), len(texts))
+    return indexed(pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts, "")), "[^\\pL\\pM\\pN]+"), len(texts))
 
 
-def _index(parts: pa.ListArray, n: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+def indexed(parts: pa.ListArray, n: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     offsets = parts.offsets.to_numpy().astype(np.int64)
     flat = parts.flatten()
     full = np.asarray(pc.greater(pc.binary_length(flat), 0), dtype=bool)
