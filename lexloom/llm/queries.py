@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lexloom.llm import crf, decontaminate, digest_index, hilbert, packing, simhash, suffix_tree, toxicity
+from lexloom.llm import crf, decontaminate, digest_index, hilbert, packing, passages, simhash, suffix_tree, toxicity
 
 QUERIES = {
     "op1_suffix_tree": suffix_tree.op1_suffix_tree,
     "op2_simhash_ball": simhash.op2_simhash_ball,
+    "op3_chained_passages": passages.op3_chained_passages,
     "op4_digest_index": digest_index.op4_digest_index,
     "op5_deobfuscated_toxicity": toxicity.op5_deobfuscated_toxicity,
     "op6_hilbert_shards": hilbert.op6_hilbert_shards,
