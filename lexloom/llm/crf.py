@@ -284,6 +284,20 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
+def accept(docs: DataFrame, model: Model, least: float = 0.4, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose language is known: not ``und``, and its score ``least`` at least."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in by_bytes(whole, text_col)):
+            index, bounds, words = letters(batch.column(text_col).cast(pa.string()))
+            k = len(shared.value.languages)
+            share = shared.value.shares(index, bounds, words.to_pylist()) if k else np.zeros((batch.num_rows, 1))
+            yield batch.filter(pa.array((np.diff(bounds) > 0) & (share.max(axis=1) >= least)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op9_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from three quarters of them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -19,15 +19,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import ROW, keyed, write_scratch
 from lexloom.llm.tokens import by_bytes
 from lexloom.llm.words import hashes, letter_words, rolling
 
 #: Positions that are read have a 1. Weight six each; any two differ in most distances between them.
 MASKS = ("11011011", "1101001011", "111000111", "1010110011")
+SIMILARITY, LEAST_WORDS, BLOCK_WORDS = 0.8, 10, 2_000_000
 LEAKS = "doc_id long, item_id long, start long, end long, item_start long, item_end long, agreeing long, similarity double"
 
 
@@ -99,18 +100,23 @@ class Seeds:
         return [(doc, item, s, e, i, j, same) for same, _, doc, item, s, e, i, j in best.values()]
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, least: int = 10, block_words: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """One row for each document and item that overlap, with the overlap in which most words agree (places count words)."""
-    spark = docs.sparkSession
+def seed_blocks(benchmark: DataFrame, block_words: int, item_col: str, item_text_col: str) -> Iterator[Broadcast]:
+    """The benchmark's windows, broadcast in blocks of about ``block_words`` words."""
+    spark = benchmark.sparkSession
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
     total = items.agg(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), "\\s+")))).first()[0] or 0
     blocks = max(1, -(-total // block_words))
-    out = None
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
-        seeds = spark.sparkContext.broadcast(Seeds([r["item_id"] for r in rows], [r["text"] for r in rows]))
+        yield spark.sparkContext.broadcast(Seeds([r["item_id"] for r in rows], [r["text"] for r in rows]))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, least: int = LEAST_WORDS, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """One row for each document and item that overlap, with the overlap in which most words agree (places count words)."""
+    docs, out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), None
+    for seeds in seed_blocks(benchmark, block_words, item_col, item_text_col):
 
-        def run(batches: Iterator[pa.RecordBatch], seeds=seeds) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], seeds: Broadcast = seeds) -> Iterator[pa.RecordBatch]:
             for batch in (part for whole in batches for part in by_bytes(whole, "text")):
                 index, bounds, words = letter_words(batch.column("text"))
                 found = seeds.value.leaks(hashes(words)[index], bounds, similarity, least)
@@ -121,16 +127,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, least:
                     share = pa.array([s / (e - b) for s, b, e in zip(same, start, end, strict=True)])
                     yield pa.RecordBatch.from_arrays([*ids, *cols, share], [x.split()[0] for x in LEAKS.split(", ")])
 
-        part = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, LEAKS)
+        part = docs.mapInArrow(run, LEAKS)
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents that leak nothing, with all their columns."""
-    docs, key = keyed(docs, id_col)
-    found = write_scratch(leaks(docs, benchmark, id_col=key, **options).select(F.col("doc_id").alias("__leaks")).distinct(), "leaks")
-    return docs.join(found, docs[key] == found["__leaks"], "left_anti").drop(ROW)
+def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, least: int = LEAST_WORDS, block_words: int = BLOCK_WORDS, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that leak nothing, with all their columns."""
+    for seeds in seed_blocks(benchmark, block_words, item_col, item_text_col):
+
+        def run(batches: Iterator[pa.RecordBatch], seeds: Broadcast = seeds) -> Iterator[pa.RecordBatch]:
+            for batch in (part for whole in batches for part in by_bytes(whole, text_col)):
+                index, bounds, words = letter_words(batch.column(text_col).cast(pa.string()))
+                keep = np.ones(batch.num_rows, bool)
+                keep[[x[0] for x in seeds.value.leaks(hashes(words)[index], bounds, similarity, least)]] = False
+                yield batch.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
 
 
 def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:

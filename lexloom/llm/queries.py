@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexloom.llm import crf, decontaminate, digest_index, hilbert, packing, passages, simhash, suffix_tree, toxicity
+from lexloom.llm import crf, decontaminate, digest_index, hilbert, mixing_coder, packing, passages, simhash, suffix_tree, toxicity
 
 QUERIES = {
     "op1_suffix_tree": suffix_tree.op1_suffix_tree,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_deobfuscated_toxicity": toxicity.op5_deobfuscated_toxicity,
     "op6_hilbert_shards": hilbert.op6_hilbert_shards,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
+    "op8_mixing_coder": mixing_coder.op8_mixing_coder,
     "op9_crf_language": crf.op9_crf_language,
     "op10_spaced_seeds": decontaminate.op10_spaced_seeds,
 }

@@ -34,9 +34,12 @@ from pyspark.sql import functions as F
 
 from lexloom.llm.common import ROW, components, keyed, write_scratch
 from lexloom.llm.tokens import by_bytes
+from lexloom.llm.words import ascii_words, hashes, rolling
 
 #: Leading bits of a variant by which it is shuffled.
 PREFIX_BITS = 16
+#: Seeds of the fingerprints of words that find candidates for :func:`near_links`.
+SEEDS = (1, 2, 3, 4)
 #: Variants that are compared at a time, and rows whose variants are expanded together if their prefixes allow it.
 CHUNK, ROWS = 1 << 21, 1 << 17
 
@@ -200,12 +203,97 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def word_fingerprints(docs: DataFrame, seeds: tuple[int, ...]) -> DataFrame:
+    """doc and a fingerprint for each seed, of the text's distinct words weighed by the root of their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in by_bytes(whole, "text")):
+            index, bounds, words = ascii_words(batch.column("text"))
+            text = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
+            pairs, counts = np.unique(text * max(len(words), 1) + index, return_counts=True)
+            text, word = pairs // max(len(words), 1), pairs % max(len(words), 1)
+            weight = np.sqrt(counts).astype(np.float32)
+            ends = np.searchsorted(text, np.arange(batch.num_rows + 1))
+            columns = [batch.column("doc")]
+            for seed in seeds:
+                signs = np.unpackbits(hashes(words, seed).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32) * 2 - 1
+                found = np.zeros((batch.num_rows, 64), bool)
+                at = 0
+                while at < batch.num_rows:  # some texts at a time, one at least
+                    to = max(at + 1, int(np.searchsorted(ends, ends[at] + (1 << 18), side="right")) - 1)
+                    own = slice(ends[at], ends[to])
+                    rows = np.cumsum(np.bincount(text[own] - at, minlength=to - at)) if to > at else []
+                    some = np.flatnonzero(np.diff(rows, prepend=0))
+                    if len(some):
+                        sums = np.add.reduceat(signs[word[own]] * weight[own, None], (rows - np.diff(rows, prepend=0))[some], axis=0)
+                        found[at + some] = sums > 0
+                    at = to
+                columns.append(pa.array(np.packbits(found, axis=1, bitorder="little").view(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays(columns, ["doc", *(f"fp{i}" for i in range(len(seeds)))])
+
+    return docs.mapInArrow(run, "doc long, " + ", ".join(f"fp{i} long" for i in range(len(seeds))))
+
+
+def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
+    """doc and its distinct shingles as sorted 32-bit hashes; a shorter text is one shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in by_bytes(whole, "text")):
+            index, bounds, words = ascii_words(batch.column("text"))
+            values, out = hashes(words)[index], []
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                found = rolling(values[a:b], list(range(min(size, b - a)))) if b > a else np.zeros(1, np.uint64)
+                out.append(np.unique((found >> np.uint64(32)).astype(np.uint32)).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(out, pa.binary())], ["doc", "shingles"])
+
+    return docs.mapInArrow(run, "doc long, shingles binary")
+
+
+def alike(docs: DataFrame, candidates: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Those candidate pairs (a, b) of documents whose sets of shingles have this Jaccard similarity at least."""
+    candidates = write_scratch(candidates, "candidates")
+    used = candidates.select(F.col("a").alias("doc")).unionByName(candidates.select(F.col("b").alias("doc"))).distinct()
+    sets = write_scratch(shingle_sets(docs.join(used, "doc", "left_semi"), size), "shingles")
+    pairs = candidates.join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc").alias("b"), F.col("shingles").alias("y")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], ["a", "b"])
+
+    return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def near_links(docs: DataFrame, seeds: tuple[int, ...] = SEEDS, size: int = 5, similarity: float = 0.8, bits: int = 12) -> DataFrame:
+    """Verified links (a, b) between documents (doc, text): pairs whose fingerprints of words collide within the radius for one
+    of the seeds, and whose shingles of ``size`` words are alike."""
+    prints = write_scratch(word_fingerprints(docs, seeds), "word-fingerprints")
+    found = None
+    for i in range(len(seeds)):
+        own = prints.select("doc", F.col(f"fp{i}").alias("fp"))
+        least = own.groupBy("fp").agg(F.min("doc").alias("low"))
+        near = links(least.select("fp"), bits)
+        pairs = near.join(least.select(F.col("fp").alias("a"), F.col("low").alias("x")), "a").join(least.select(F.col("fp").alias("b"), F.col("low").alias("y")), "b").select("x", "y")
+        same = own.join(least, "fp").where("doc <> low").select(F.col("low").alias("x"), F.col("doc").alias("y"))
+        both = write_scratch(pairs.unionByName(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), "word-links")
+        found = both if found is None else found.unionByName(both)
+    return alike(docs, found.distinct(), size, similarity)
+
+
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component, the one with the least id, with all its columns; where ids are missing or repeated,
-    the first row stays instead."""
+    """One document of each group of near-duplicates, the one with the least id, with all its columns; where ids are missing or
+    repeated, the first row stays instead. Linked are documents whose fingerprints are within the radius, and those
+    that :func:`near_links` finds: the shingles' fingerprint alone joins a quarter of the pairs with similarity 0.8."""
     docs, key = keyed(docs, id_col)
-    stay = write_scratch(clusters(docs, key, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("__stay")), "stay")
-    return docs.join(stay, docs[key] == stay["__stay"], "left_semi").drop(ROW)
+    narrow = docs.select(F.col(key).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
+    near = clusters(docs, key, text_col).where("doc_id <> component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
+    groups = components(near.unionByName(near_links(narrow)))
+    gone = write_scratch(groups.where("node <> root").select(F.col("node").alias("__gone")), "gone")
+    return docs.join(gone, docs[key] == gone["__gone"], "left_anti").drop(ROW)
 
 
 def op2_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
