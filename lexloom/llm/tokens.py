@@ -75,7 +75,7 @@ def _each(path: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter((x for y in ids for x in y), np.uint32, int(lengths.sum())), lengths
 
 
-def _words(path: str, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _fresh(path: str, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """As :func:`_each` for a space and each word. Words without white space are encoded many at a time: a tokenizer splits
     between them, and the ids' bytes tell where."""
     odd = np.asarray(pc.match_substring_regex(words, "^$|[\\t-\\r\\x{1c}-\\x{20}\\x{85}\\pZ]"), dtype=bool)
@@ -99,6 +99,38 @@ def _words(path: str, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, lengths
 
 
+class Known:
+    """Words whose ids a worker has found, so that a batch encodes new ones only. Bounded: it starts anew when full."""
+
+    MOST = 1_500_000
+
+    def __init__(self) -> None:
+        self.words, self.flat = pa.array([], pa.string()), np.zeros(0, np.uint32)
+        self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def ids(self, path: str, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As :func:`_fresh`."""
+        if len(self.words) + len(words) > self.MOST:
+            kept = min(len(self.words), self.MOST // 4)  # the ones that came first are the frequent ones
+            self.words, self.starts, self.lengths = self.words[:kept], self.starts[:kept], self.lengths[:kept]
+            self.flat = self.flat[: int(self.lengths.sum())]
+        at = pc.index_in(words, value_set=self.words)
+        new = np.asarray(pc.is_null(at), dtype=bool)
+        flat, lengths = _fresh(path, words.filter(pa.array(new)))
+        place = np.asarray(pc.fill_null(at, 0), dtype=np.int64)
+        place[new] = len(self.words) + np.arange(int(new.sum()))
+        self.words = pa.concat_arrays([self.words, words.filter(pa.array(new))])
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
+        self.flat, self.lengths = np.concatenate([self.flat, flat]), np.concatenate([self.lengths, lengths])
+        took, _ = ragged(self.starts[place], self.lengths[place])
+        return self.flat[took], self.lengths[place]
+
+
+@lru_cache(maxsize=2)
+def _known(path: str) -> Known:
+    return Known()
+
+
 def encode(path: str, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts one after another, bounds): text i has ids[bounds[i]:bounds[i + 1]]. Null counts as empty."""
     texts = pc.fill_null(texts, "")
@@ -113,7 +145,7 @@ def encode(path: str, texts: pa.Array, end_id: int | None = None) -> tuple[np.nd
     heads = words.dictionary.take(pa.array(index[first])).dictionary_encode() if len(first) else pa.array([], pa.string()).dictionary_encode()
     whole = texts.filter(pa.array(awkward))
     top, rest = heads.dictionary.to_pylist(), whole.to_pylist()
-    (flat, lengths), (more, own) = _words(path, words.dictionary), _each(path, top + rest)
+    (flat, lengths), (more, own) = _known(path).ids(path, words.dictionary), _each(path, top + rest)
     tail, flat, lengths = len(words.dictionary), np.concatenate([flat, more]), np.concatenate([lengths, own])
     starts = np.cumsum(lengths) - lengths
     index[first] = tail + heads.indices.to_numpy()
