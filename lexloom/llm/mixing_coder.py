@@ -33,7 +33,7 @@ from lexloom.llm import tokens
 from lexloom.llm.common import scratch_path
 
 MAGIC, HEADER = b"LEXR", struct.Struct("<IIII")
-BLOCK, REFRESH, SLOTS = 4096, 1024, 4096
+BLOCK, REFRESH, SLOTS = 2048, 1024, 2048
 #: Bits of order-0 proportions and of the share of a prediction.
 SCALE, SHARE = 13, 16
 BOUND, LOW32 = np.uint64(1 << 32), np.uint64(0xFFFFFFFF)
@@ -41,57 +41,70 @@ SEGMENT_BYTES = 12 << 20
 
 
 class BlockModel:
-    """The adaptive state of many blocks side by side: lane i has ``kinds[i]`` different symbols."""
+    """The adaptive state of many blocks side by side: lane i has ``kinds[i]`` different symbols.
+
+    A table's cell holds a symbol and, in its two lowest bits, the confidence in it: 0 none yet, up to 3.
+    """
 
     def __init__(self, kinds: np.ndarray) -> None:
         lanes = len(kinds)
         self.lanes, self.kinds, self.width = lanes, kinds, int(kinds.max()) + 1
         lane = np.arange(lanes, dtype=np.int64)
         self.row, self.slot, self.four = lane * self.width, lane * SLOTS, lane * 4
-        self.guess = [np.zeros(lanes * self.width, np.int16), np.zeros(lanes * SLOTS, np.int16)]
-        self.sure = [np.zeros(lanes * self.width, np.int8), np.zeros(lanes * SLOTS, np.int8)]
-        start = np.array([0, 20000, 40000, 52000], np.int64)
-        self.rate = [np.tile(start, lanes), np.tile(start, lanes)]
+        self.one_table, self.two_table = np.zeros(lanes * self.width, np.int32), np.zeros(lanes * SLOTS, np.int32)
+        start = np.array([0, 20000, 40000, 52000], np.int32)
+        self.one_rate, self.two_rate = np.tile(start, lanes), np.tile(start, lanes)
         self.count = np.zeros((lanes, self.width), np.int32)
+        self.flat_count = self.count.ravel()
         self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.real = np.arange(self.width) < kinds[:, None]
+        self.real = (np.arange(self.width) < kinds[:, None]).astype(np.int32)
         self.steps = 0
 
     def refresh(self, inverse: bool) -> None:
-        """Order-0 proportions from the counts so far: one for each symbol and the rest by count."""
+        """Order-0 proportions from the counts so far: one for each symbol and the rest by count. A cell holds what lies below a
+        symbol and, in its lowest bits, the symbol's own part."""
         room = (1 << SCALE) - self.kinds
         share = self.count * (room / max(self.steps, 1)).astype(np.float32)[:, None]
         part = share.astype(np.int32) + self.real
         part[np.arange(self.lanes), self.count.argmax(axis=1)] += ((1 << SCALE) - part.sum(axis=1)).astype(np.int32)
-        self.part = part.ravel().astype(np.int64)
         below = np.cumsum(part, axis=1, dtype=np.int32) - part
-        self.below = below.ravel().astype(np.int64)
+        self.zero = (below << SCALE + 1 | part).ravel()
         if inverse:
-            self.inverse = np.repeat(np.tile(np.arange(self.width, dtype=np.int16), self.lanes), self.part)
+            self.inverse = np.repeat(np.tile(np.arange(self.width, dtype=np.int16), self.lanes), part.ravel())
 
     def predict(self) -> None:
         """The two predictions and the parts of the interval that they get."""
-        self.at = [self.row + self.last, self.slot + ((self.last * 0x2F + self.before * 0x9E5) & SLOTS - 1)]
-        self.said = [self.guess[k][self.at[k]] for k in (0, 1)]
-        self.trust = [self.sure[k][self.at[k]].astype(np.int64) for k in (0, 1)]
-        self.cell = [self.four + self.trust[k] for k in (0, 1)]
-        self.two = self.rate[1][self.cell[1]]
-        self.one = self.rate[0][self.cell[0]] * ((1 << SHARE) - self.two) >> SHARE
+        self.one_at, self.two_at = self.row + self.last, self.slot + ((self.last * 0x2F + self.before * 0x9E5) & SLOTS - 1)
+        self.one_cell, self.two_cell = self.one_table[self.one_at], self.two_table[self.two_at]
+        self.one_trust, self.two_trust = self.one_cell & 3, self.two_cell & 3
+        self.one_of, self.two_of = self.four + self.one_trust, self.four + self.two_trust
+        self.one_share, self.two = self.one_rate[self.one_of], self.two_rate[self.two_of]
+        self.one = self.one_share * np.int64((1 << SHARE)) - self.one_share * self.two.astype(np.int64) >> SHARE
         self.upto = self.two + self.one
+        self.rest = (1 << SHARE) - self.upto
+
+    def interval(self, symbol: np.ndarray, hit_two: np.ndarray, hit_one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(begin, width) of the symbol's part, of 2^(SCALE + SHARE)."""
+        self.spot = self.row + symbol
+        zero = self.zero[self.spot]
+        begin = (self.upto << SCALE) + self.rest * (zero >> SCALE + 1)
+        width = self.rest * (zero & (2 << SCALE) - 1)
+        two, one = np.flatnonzero(hit_two), np.flatnonzero(hit_one)
+        begin[two], width[two] = 0, self.two[two] << SCALE
+        begin[one], width[one] = self.two[one] << SCALE, self.one[one] << SCALE
+        return begin.view(np.uint64), width.view(np.uint64)
 
     def update(self, symbol: np.ndarray, hit_two: np.ndarray, hit_one: np.ndarray) -> None:
-        short = symbol.astype(np.int16)
-        for k, hit in ((1, hit_two), (0, hit_one)):
-            trust, said = self.trust[k], self.said[k]
-            right = (said == short) & (trust > 0)
-            keep = right | (trust > 1)
-            self.guess[k][self.at[k]] = np.where(keep, said, short)
-            self.sure[k][self.at[k]] = np.where(right, np.minimum(trust + 1, 3), np.maximum(trust - 1, 1))
-            rate = self.rate[k][self.cell[k]]
-            new = rate + ((hit * 60000 - rate) >> 5)
-            tried = (trust > 0) & ~hit_two if k == 0 else trust > 0
-            self.rate[k][self.cell[k]] = np.where(tried, np.maximum(new, 64), rate)
-        self.count.ravel()[self.row + symbol] += 1
+        new = (symbol << 2 | 1).astype(np.int32)
+        for table, at, cell, trust, rates, of, rate, hit, tried in (
+            (self.two_table, self.two_at, self.two_cell, self.two_trust, self.two_rate, self.two_of, self.two, hit_two, self.two_trust > 0),
+            (self.one_table, self.one_at, self.one_cell, self.one_trust, self.one_rate, self.one_of, self.one_share, hit_one, (self.one_trust > 0) & ~hit_two),
+        ):
+            right = (cell >> 2 == new >> 2) & (trust > 0)
+            # right: more confidence; wrong but confident: less; else the new symbol
+            table[at] = np.where(right, np.minimum(cell + 1, cell | 3), np.where(trust > 1, cell - 1, new))
+            rates[of] = np.where(tried, np.maximum(rate + ((hit * np.int32(60000) - rate) >> 5), 64), rate)
+        self.flat_count[self.spot] += 1
         self.before, self.last = self.last, symbol
         self.steps += 1
 
@@ -101,7 +114,7 @@ def narrowed(low: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     settled = (low ^ (low + size)) < BOUND
     cut = ~settled & (size < BOUND)
     if cut.any():
-        size = np.where(cut, (np.uint64(0) - low) & LOW32, size)
+        size[cut] = (np.uint64(0) - low[cut]) & LOW32
     return np.flatnonzero(settled | cut), size
 
 
@@ -134,16 +147,12 @@ def _encode(symbols: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndar
             model.refresh(False)
         x = symbols[t]
         model.predict()
-        short = x.astype(np.int16)
-        hit_two = (model.said[1] == short) & (model.trust[1] > 0)
-        hit_one = (model.said[0] == short) & (model.trust[0] > 0) & ~hit_two
-        at = model.row + x
-        rest = (1 << SHARE) - model.upto
-        begin = np.where(hit_two, 0, np.where(hit_one, model.two << SCALE, (model.upto << SCALE) + rest * model.below[at]))
-        width = np.where(hit_two, model.two << SCALE, np.where(hit_one, model.one << SCALE, rest * model.part[at]))
-        unit = size >> shift
-        low = low + begin.view(np.uint64) * unit
-        size = width.view(np.uint64) * unit
+        hit_two = (model.two_cell >> 2 == x) & (model.two_trust > 0)
+        hit_one = (model.one_cell >> 2 == x) & (model.one_trust > 0) & ~hit_two
+        begin, width = model.interval(x, hit_two, hit_one)
+        size >>= shift
+        low += begin * size
+        size *= width
         move, size = narrowed(low, size)
         if len(move):
             words[move, used[move]] = (low[move] >> np.uint64(32)).astype(np.uint32)
@@ -191,7 +200,8 @@ def _decode(words: np.ndarray, kinds: np.ndarray, steps: int) -> np.ndarray:
     code = words[:, 0].astype(np.uint64) << np.uint64(32) | words[:, 1].astype(np.uint64)
     used = np.full(lanes, 2, np.int64)
     out = np.empty((steps, lanes), np.int64)
-    shift, last, lane = np.uint64(SCALE + SHARE), np.uint64((1 << SCALE + SHARE) - 1), np.arange(lanes)
+    shift, last = np.uint64(SCALE + SHARE), np.uint64((1 << SCALE + SHARE) - 1)
+    lane_start, top = np.arange(lanes, dtype=np.int64) << SCALE, kinds - 1
     for t in range(steps):
         if t % REFRESH == 0:
             model.refresh(True)
@@ -201,15 +211,16 @@ def _decode(words: np.ndarray, kinds: np.ndarray, steps: int) -> np.ndarray:
         share = spot >> SCALE
         hit_two = share < model.two
         hit_one = ~hit_two & (share < model.upto)
-        rest = (1 << SHARE) - model.upto
-        place = np.clip((spot - (model.upto << SCALE)) // rest, 0, (1 << SCALE) - 1)
-        x = np.where(hit_two, model.said[1], np.where(hit_one, model.said[0], model.inverse[(lane << SCALE) + place])).astype(np.int64)
-        x = np.clip(x, 0, kinds - 1)
-        at = model.row + x
-        begin = np.where(hit_two, 0, np.where(hit_one, model.two << SCALE, (model.upto << SCALE) + rest * model.below[at]))
-        width = np.where(hit_two, model.two << SCALE, np.where(hit_one, model.one << SCALE, rest * model.part[at]))
-        low = low + begin.view(np.uint64) * unit
-        size = width.view(np.uint64) * unit
+        # both numbers are below 2^29, so the quotient of floats rounds down exactly
+        place = ((spot - (model.upto << SCALE)) / model.rest).astype(np.int64)
+        np.maximum(place, 0, out=place)
+        x = model.inverse[lane_start + np.minimum(place, (1 << SCALE) - 1)].astype(np.int64)
+        two, one = np.flatnonzero(hit_two), np.flatnonzero(hit_one)
+        x[two], x[one] = model.two_cell[two] >> 2, model.one_cell[one] >> 2
+        np.minimum(x, top, out=x)  # only a damaged block has others
+        begin, width = model.interval(x, hit_two, hit_one)
+        low += begin * unit
+        size = width * unit
         move, size = narrowed(low, size)
         if len(move):
             low[move] <<= np.uint64(32)
