@@ -18,6 +18,7 @@ the id and the text are read.
 
 from __future__ import annotations
 
+import pickle
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,11 +34,12 @@ from lexloom.llm.common import id_fold, scratch_path, write_scratch
 from lexloom.llm.tokens import by_bytes
 from lexloom.llm.words import ascii_words, hashes
 
-#: Text bytes of a block.
-BLOCK_BYTES = 12 << 20
+#: Text bytes of a block, and bytes of a row that holds a part of one.
+BLOCK_BYTES, CHUNK = 6 << 20, 1 << 18
 SHARE, DEVIATIONS, LEAST_NATS = 2e-4, 4.0, 0.01
-#: The hash that stands for a text's end.
-END = 0
+#: The hash that stands for a text's end, and the bits of a candidate word's code. A pair's code is its place among
+#: the candidate pairs, after all words' codes.
+END, CODE_BITS = 0, 20
 
 
 def pack(table: pa.Table) -> bytes:
@@ -69,16 +71,22 @@ class Block:
         place[order] = np.arange(len(order))
         return Block(doc_ids, train, bounds, place[ids], words.take(pa.array(order)))
 
-    def packed(self) -> tuple[bytes, bytes, bytes]:
+    def rows(self, number: int) -> pa.RecordBatch:
+        """The block as rows of a table, of ``CHUNK`` bytes each: one value of megabytes is hard on a JVM's heap."""
         docs = pa.table({"doc_id": self.doc_ids, "train": self.train, "n": np.diff(self.bounds)})
-        return pack(docs), pack(pa.table({"id": self.ids})), pack(pa.table({"word": self.words}))
+        data = pickle.dumps((pack(docs), pack(pa.table({"id": self.ids})), pack(pa.table({"word": self.words}))))
+        chunks = [data[i : i + CHUNK] for i in range(0, len(data), CHUNK)]
+        tokens, texts, zeros = int((np.diff(self.bounds) + 1)[self.train].sum()), int(self.train.sum()), [0] * (len(chunks) - 1)
+        columns = [[number] * len(chunks), list(range(len(chunks))), [tokens, *zeros], [texts, *zeros], chunks]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["block", "chunk", "tokens", "texts", "data"])
 
     @staticmethod
-    def from_packed(docs: bytes, ids: bytes, words: bytes) -> Block:
+    def from_rows(table: pa.Table) -> Block:
+        docs, ids, words = pickle.loads(b"".join(table.sort_by("chunk")["data"].to_pylist()))
         d = unpack(docs)
         bounds = np.concatenate([[0], np.cumsum(d["n"].to_numpy())]).astype(np.int64)
         words = unpack(words)["word"].combine_chunks()
-        return Block(d["doc_id"].combine_chunks(), d["train"].to_numpy(zero_copy_only=False).astype(bool), bounds, unpack(ids)["id"].to_numpy().astype(np.int64), words)
+        return Block(d["doc_id"].combine_chunks(), d["train"].to_numpy(zero_copy_only=False).astype(bool), bounds, unpack(ids)["id"].to_numpy(), words)
 
     def counts(self) -> np.ndarray:
         """How often each word occurs in the block's training texts."""
@@ -90,9 +98,9 @@ class Block:
         n = len(self.bounds) - 1
         lengths = np.diff(self.bounds) + 1
         starts = np.cumsum(lengths) - lengths
-        out = np.full(int(lengths.sum()), len(self.words), np.int64)
-        text = np.repeat(np.arange(n), lengths)
-        place = np.arange(len(out)) - starts[text]
+        out = np.full(int(lengths.sum()), len(self.words), np.int32)
+        text = np.repeat(np.arange(n, dtype=np.int32), lengths)
+        place = np.arange(len(out), dtype=np.int32) - starts.astype(np.int32)[text]
         out[place < lengths[text] - 1] = self.ids
         return out, text, place
 
@@ -104,32 +112,46 @@ class Root:
     total: int
     distinct: int
     ends: int
-    least: float
-    frequent: dict[str, int]
+    frequent: list[str]  # the words that are candidates, by their codes
+    twos: np.ndarray  # the pairs of these that are candidates, as first << CODE_BITS | last, sorted
 
     def log_p(self, counts: np.ndarray) -> np.ndarray:
         return np.log((counts + 1.0) / (self.total + self.distinct + 1.0))
 
 
+def candidates(block: Block, frequent: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(symbol, its text, code of the word before it, code of the one before that) of a block; -1 for none."""
+    symbol, text, place = block.symbols()
+    code = np.full(len(block.words) + 1, -1, np.int32)
+    at = pc.index_in(pa.array(frequent, pa.string()), value_set=block.words)
+    here = np.asarray(pc.is_valid(at), dtype=bool)
+    code[at.filter(pa.array(here)).to_numpy()] = np.flatnonzero(here)
+    coded = code[symbol]
+    last, before = np.full(len(symbol), -1, np.int32), np.full(len(symbol), -1, np.int32)
+    last[1:], before[2:] = coded[:-1], coded[:-2]
+    last[place < 1] = -1
+    before[(place < 2) | (last < 0)] = -1
+    return symbol, text, last, before
+
+
 class Pairs:
-    """A block's pairs of a candidate context and the symbol after it."""
+    """A block's pairs of a candidate context and the symbol after it, by the context's length."""
 
-    def __init__(self, block: Block, root: Root, words: np.ndarray) -> None:
-        self.symbol, self.text, place = block.symbols()
+    def __init__(self, block: Block, root: Root) -> None:
+        self.symbol, self.text, last, before = candidates(block, root.frequent)
         self.size = len(block.words) + 1
-        code = np.full(self.size, -1, np.int64)
-        frequent = [(i, root.frequent[w]) for i, w in zip(words.tolist(), block.words.take(pa.array(words)).to_pylist(), strict=True) if w in root.frequent]
-        for i, k in frequent:
-            code[i] = k
-        last = np.where(place >= 1, code[np.roll(self.symbol, 1)], -1)
-        before = np.where(place >= 2, code[np.roll(self.symbol, 2)], -1)
+        both = np.full(len(last), -1, np.int32)
+        here = np.flatnonzero(before >= 0)
+        if len(here) and len(root.twos):
+            codes = before[here].astype(np.int64) << CODE_BITS | last[here]
+            found = np.minimum(np.searchsorted(root.twos, codes), len(root.twos) - 1)
+            both[here] = np.where(root.twos[found] == codes, found + (1 << CODE_BITS), -1)
         train = block.train[self.text]
-        self.context = [last, np.where((last >= 0) & (before >= 0), (before + 1) << 20 | last, -1)]
-        self.keys, self.own, self.at = [], [], []
+        self.context, self.keys, self.own, self.at = [last, both], [], [], []
         for context in self.context:
             here = np.flatnonzero(context >= 0)
-            keys, at = np.unique(context[here] * self.size + self.symbol[here], return_inverse=True)
-            full = np.full(len(self.symbol), -1, np.int64)
+            keys, at = np.unique(context[here] * np.int64(self.size) + self.symbol[here], return_inverse=True)
+            full = np.full(len(self.symbol), -1, np.int32)
             full[here] = at
             self.keys.append(keys)
             self.at.append(full)
@@ -145,10 +167,7 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, train: Column) -> DataFr
 
         def made() -> pa.RecordBatch:
             table = pa.Table.from_batches(parts).combine_chunks()
-            block = Block.of(*(table[c].combine_chunks() if c != "train" else table[c].to_numpy() for c in ("doc_id", "train", "text")))
-            tokens = int((np.diff(block.bounds) + 1)[block.train].sum())
-            columns = [[number], [tokens], [int(block.train.sum())], *([x] for x in block.packed())]
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["block", "tokens", "texts", "docs", "ids", "words"])
+            return Block.of(*(table[c].combine_chunks() if c != "train" else table[c].to_numpy() for c in ("doc_id", "train", "text"))).rows(number)
 
         for batch in (part for whole in batches for part in by_bytes(whole, "text", BLOCK_BYTES)):
             parts.append(batch)
@@ -160,7 +179,7 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, train: Column) -> DataFr
             yield made()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), train.alias("train"), F.col(text_col).cast("string").alias("text"))
-    found = rows.mapInArrow(run, "block long, tokens long, texts long, docs binary, ids binary, words binary")
+    found = rows.mapInArrow(run, "block long, chunk int, tokens long, texts long, data binary")
     name = f"suffix_tree_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found.write.bucketBy(buckets, "block").option("path", scratch_path(spark, name)).saveAsTable(name)
@@ -171,38 +190,49 @@ def word_sums(table: DataFrame, least: float) -> DataFrame:
     """For each block and word, by its place in the block: its sum over all blocks (total), whether that is the block's own count
     (same), whether this row stands for the word (lead), and the word itself in such a row if its sum is ``least`` at least."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                block = Block.from_packed(row["docs"], row["ids"], row["words"])
-                n = len(block.words)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, row["block"])), block.words, pa.array(np.arange(n, dtype=np.int32)), pa.array(block.counts())], ["block", "word", "at", "n"])
+    def run(rows: pa.Table) -> pa.Table:
+        block = Block.from_rows(rows)
+        n = len(block.words)
+        return pa.table({"block": np.full(n, rows["block"][0].as_py()), "word": block.words, "at": np.arange(n, dtype=np.int32), "n": block.counts()})
 
-    rows = table.select("block", "docs", "ids", "words").mapInArrow(run, "block long, word string, at int, n long")
+    rows = table.select("block", "chunk", "data").groupBy("block").applyInArrow(run, "block long, word string, at int, n long")
     own = Window.partitionBy("word")
     found = rows.select("*", F.sum("n").over(own).alias("total"), (F.row_number().over(own.orderBy("block")) == 1).alias("lead"))
     return write_scratch(found.select("block", "at", "total", (F.col("n") == F.col("total")).alias("same"), "lead", F.when(F.col("lead") & (F.col("total") >= least), F.col("word")).alias("word")), "word-sums")
 
 
-def totals(block: Block, rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """(sums of the block's words, places of those that came back)."""
+def totals(block: Block, rows: pa.Table) -> np.ndarray:
+    """Sums of the block's words over all blocks."""
     out = block.counts()
-    at = rows["at"].to_numpy()
-    out[at] = rows["total"].to_numpy()
-    return out, at
+    out[rows["at"].to_numpy()] = rows["total"].to_numpy()
+    return out
+
+
+def frequent_pairs(table: DataFrame, frequent: list[str], least: float) -> np.ndarray:
+    """The pairs of frequent words that occur in at least ``least`` places, as in :class:`Root`."""
+    shared = table.sparkSession.sparkContext.broadcast(frequent)
+
+    def run(rows: pa.Table) -> pa.Table:
+        block = Block.from_rows(rows)
+        _, text, last, before = candidates(block, shared.value)
+        here = np.flatnonzero((before >= 0) & block.train[text])
+        codes, n = np.unique(before[here].astype(np.int64) << CODE_BITS | last[here], return_counts=True)
+        return pa.table({"code": codes, "n": n})
+
+    counts = table.select("block", "chunk", "data").groupBy("block").applyInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return np.array(sorted(r["code"] for r in counts.where(F.col("n") >= least).select("code").collect()), np.int64)
 
 
 def pair_sums(table: DataFrame, sums: DataFrame, root: Root) -> DataFrame:
     """For each block, context and next symbol: the sum over all blocks, as in :func:`word_sums`, and the symbol's log
-    probability at the root. context: the code of the last word, and (code + 1) << 20 of the one before it."""
+    probability at the root."""
     shared = table.sparkSession.sparkContext.broadcast(root)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        block, number = Block.from_packed(*(left[c][0].as_py() for c in ("docs", "ids", "words"))), left["block"][0].as_py()
+        block, number = Block.from_rows(left), left["block"][0].as_py()
         root = shared.value
-        count, _ = totals(block, right)
-        # a candidate's sum is large; only such words are looked up
-        pairs = Pairs(block, root, np.flatnonzero(count >= root.least))
+        count = totals(block, right)
+        pairs = Pairs(block, root)
         symbol_hash = np.append(hashes(block.words).view(np.int64), END)
         log_p = root.log_p(np.append(count, root.ends))
         keys, own = np.concatenate(pairs.keys), np.concatenate(pairs.own)
@@ -210,7 +240,7 @@ def pair_sums(table: DataFrame, sums: DataFrame, root: Root) -> DataFrame:
         return pa.table({"block": np.full(len(keys), number), "context": keys // pairs.size, "x": symbol_hash[x], "n": own.astype(np.int32), "log_p": log_p[x].astype(np.float32)})
 
     came = sums.where(~F.col("same")).select("block", "at", "total")
-    rows = table.select("block", "docs", "ids", "words").groupBy("block").cogroup(came.groupBy("block")).applyInArrow(run, "block long, context long, x long, n int, log_p float")
+    rows = table.select("block", "chunk", "data").groupBy("block").cogroup(came.groupBy("block")).applyInArrow(run, "block long, context long, x long, n int, log_p float")
     own = Window.partitionBy("context", "x")
     found = rows.select("block", "context", "x", "n", "log_p", F.sum("n").over(own).alias("total"), (F.row_number().over(own.orderBy("block")) == 1).alias("lead"))
     found = found.select("block", "context", "x", "total", (F.col("n") == F.col("total")).alias("same"), "lead", F.when(F.col("lead"), F.col("log_p")).alias("log_p"))
@@ -221,21 +251,24 @@ def retained(sums: DataFrame, root: Root, share: float, deviations: float = DEVI
     """(context, symbols after it, different ones) of all contexts of the tree: those whose next symbols diverge from their
     suffix's, and the suffixes of these. No more than 2 / share."""
     leads = sums.where("lead AND total > 0").select("context", "x", F.col("total").alias("c"), "log_p")
-    ones = leads.where("context < 1 << 20")
     # the number of symbols after a context, with its different ones
-    sizes = leads.groupBy("context").agg(F.sum("c").alias("size"), F.count(F.lit(1)).alias("kinds")).where(F.col("size") >= share * root.total)
+    sizes = leads.groupBy("context").agg(F.sum("c").alias("size"), F.count(F.lit(1)).alias("kinds"))
     sizes = F.broadcast(sizes.limit(int(2 / share) + 2))  # that many contexts can't be exceeded
-    first = ones.join(sizes, "context").select("context", "x", "c", "log_p", "size", "kinds", F.log((F.col("c") + F.col("kinds") * F.exp("log_p")) / (F.col("size") + F.col("kinds"))).alias("log_q"))
+    rows = leads.join(sizes, "context")
+    log_q = F.log((F.col("c") + F.col("kinds") * F.exp("log_p")) / (F.col("size") + F.col("kinds")))
+    ones = rows.where(F.col("context") < 1 << CODE_BITS)
+    tested = ones.select("context", "c", "size", "kinds", F.col("log_p").alias("suffix_log_p"))
+    if len(root.twos):
+        ends = sums.sparkSession.createDataFrame([((1 << CODE_BITS) + i, int(c) & (1 << CODE_BITS) - 1) for i, c in enumerate(root.twos)], "context long, last long")
+        suffix = ones.select(F.col("context").alias("last"), "x", log_q.alias("suffix_log_p"))
+        twos = rows.join(F.broadcast(ends), "context").join(suffix, ["last", "x"])
+        tested = tested.unionByName(twos.select("context", "c", "size", "kinds", "suffix_log_p"))
     gain = F.col("c") * (F.log(F.col("c") / F.col("size")) - F.col("suffix_log_p"))
-    tested = first.select("context", "c", "size", "kinds", F.col("log_p").alias("suffix_log_p"))
-    twos = leads.where("context >= 1 << 20").withColumn("last", F.expr("context & ((1 << 20) - 1)"))
-    suffix = first.select(F.col("context").alias("last"), "x", F.col("log_q").alias("suffix_log_p"))
-    tested = tested.unionByName(twos.join(sizes, "context").join(suffix, ["last", "x"]).select("context", "c", "size", "kinds", "suffix_log_p"))
     scored = tested.groupBy("context").agg(F.sum(gain).alias("gain"), F.first("size").alias("size"), F.first("kinds").alias("kinds")).collect()
     every = {r["context"]: (r["size"], r["kinds"]) for r in scored}
     # twice the gain is about chi-square distributed if nothing diverges
     kept = {r["context"] for r in scored if 2 * r["gain"] > r["kinds"] + deviations * (2 * r["kinds"]) ** 0.5 and r["gain"] >= least_nats * r["size"]}
-    kept |= {c & (1 << 20) - 1 for c in kept}
+    kept |= {int(root.twos[c - (1 << CODE_BITS)]) & (1 << CODE_BITS) - 1 for c in kept if c >= 1 << CODE_BITS}
     return sorted((c, *every[c]) for c in kept if c in every)
 
 
@@ -250,7 +283,7 @@ def score(docs: DataFrame, train: Column, share: float = SHARE, id_col: str = "d
     distinct = sums.where("lead AND total > 0").count() + (ends > 0)
     # words with share of all symbols at least: 1 / share at most
     frequent = sorted(r["word"] for r in sums.where("word IS NOT NULL").select("word").collect())
-    root = Root(total, distinct, ends, max(1.0, share * total), {w: i for i, w in enumerate(frequent)})
+    root = Root(total, distinct, ends, frequent, frequent_pairs(table, frequent, max(1.0, share * total)))
     pairs = pair_sums(table, sums, root)
     tree = retained(pairs, root, share)
     nodes = np.array(tree, np.int64).reshape(-1, 3)
@@ -258,10 +291,10 @@ def score(docs: DataFrame, train: Column, share: float = SHARE, id_col: str = "d
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         root, nodes = shared.value
-        block = Block.from_packed(*(left[c][0].as_py() for c in ("docs", "ids", "words")))
+        block = Block.from_rows(left)
         of_pairs = pc.is_valid(right["x"])
-        count, _ = totals(block, right.filter(pc.invert(of_pairs)))
-        pairs = Pairs(block, root, np.flatnonzero(count >= root.least))
+        count = totals(block, right.filter(pc.invert(of_pairs)))
+        pairs = Pairs(block, root)
         came = right.filter(of_pairs)
         symbol_hash = np.append(hashes(block.words).view(np.int64), END)
         order = np.argsort(symbol_hash, kind="stable")
@@ -271,7 +304,7 @@ def score(docs: DataFrame, train: Column, share: float = SHARE, id_col: str = "d
         base = root.log_p(all_counts)[pairs.symbol]
         log_p, p, deep = base.copy(), np.exp(base), np.zeros(len(base), bool)
         for depth in (0, 1):
-            own, mine = pairs.own[depth].copy(), (context >= 1 << 20) == bool(depth)
+            own, mine = pairs.own[depth].copy(), (context >= 1 << CODE_BITS) == bool(depth)
             own[np.searchsorted(pairs.keys[depth], context[mine] * pairs.size + x[mine])] = sum_[mine]
             state = pairs.context[depth]
             node = np.minimum(np.searchsorted(nodes[:, 0], state), max(len(nodes) - 1, 0))
@@ -291,7 +324,7 @@ def score(docs: DataFrame, train: Column, share: float = SHARE, id_col: str = "d
     came = pairs.where(~F.col("same")).join(F.broadcast(kept), "context", "left_semi").select("block", F.lit(None).cast("int").alias("at"), "total", "context", "x")
     back = words.unionByName(came)
     schema = "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_in_context long"
-    return table.select("block", "docs", "ids", "words").groupBy("block").cogroup(back.groupBy("block")).applyInArrow(run, schema)
+    return table.select("block", "chunk", "data").groupBy("block").cogroup(back.groupBy("block")).applyInArrow(run, schema)
 
 
 def op1_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
