@@ -7,6 +7,7 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexloom.functions.dates import MONTHS
 
@@ -44,7 +45,7 @@ def _flat_tables(text: str | None) -> str | None:
         text = changed
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def flat_tables(texts: pd.Series) -> pd.Series:
     """Tables in braces as text; braces without a table's marks stay."""
     return texts.map(_flat_tables)
@@ -210,7 +211,7 @@ def sorted_ratio(a: str, b: str) -> float:
     return 2 * (len(x) - row.bit_count()) / (len(x) + len(y))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def token_sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else sorted_ratio(x.lower(), y.lower()) for x, y in zip(a, b, strict=True)], dtype="float64")
 

@@ -143,7 +143,7 @@ def rating(response: Column) -> Column:
     """(rating from 1 to 5, reasoning): 1 for an empty response, 2.5 for one that can't be read."""
     found = F.from_json(F.regexp_extract(response, r"\{[\s\S]*\}", 0), "rating string, reasoning string")
     value = found["rating"].try_cast("double")
-    clamped = F.greatest(F.lit(1.0), F.least(F.lit(5.0), value))
+    clamped = F.when(value.isNotNull(), F.greatest(F.lit(1.0), F.least(F.lit(5.0), value)))
     empty = F.length(stripped(F.coalesce(response, F.lit("")))) == 0
     return F.struct(F.when(empty, 1.0).otherwise(F.coalesce(clamped, F.lit(2.5))).alias("rating"), F.left(F.coalesce(found["reasoning"], F.lit("")), F.lit(500)).alias("reasoning"))
 

@@ -69,7 +69,7 @@ def markdown_headings(text: Column) -> Column:
 def categories(text: Column) -> Column:
     """A run of ``Category:a Category:b`` at the end of a text becomes ``Categories: a, b``."""
     parts = F.split(text, "(?i)category:")
-    names = F.transform(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(2))), F.trim)
+    names = F.transform(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(2))), lambda x: F.trim(x))
     joined = F.concat(F.element_at(parts, 1), F.lit(" Categories: "), F.array_join(names, ", "), F.lit(" "))
     single = F.concat(F.element_at(parts, 1), F.lit("Category:"), F.element_at(names, 1))
     return F.when(F.size(parts) > 2, joined).when(F.size(parts) == 2, single).otherwise(text)
@@ -78,7 +78,7 @@ def categories(text: Column) -> Column:
 def bullets(text: Column) -> Column:
     """``*a*b*c``, three items or more, becomes ``a, b, c``."""
     marked = replaced(text, r"(\*[^*\n=]{2,}(?:\*[^*\n=]{2,}){2,})", "\u0001$1\u0001")
-    items = lambda part: F.filter(F.transform(F.split(part, r"\*"), F.trim), lambda x: x != "")
+    items = lambda part: F.filter(F.transform(F.split(part, r"\*"), lambda x: F.trim(x)), lambda x: x != "")
     parts = F.transform(F.split(marked, "\u0001"), lambda part, i: F.when(i % 2 == 1, F.concat(F.lit(" "), F.array_join(items(part), ", "), F.lit(" "))).otherwise(part))
     return F.array_join(parts, "")
 
@@ -155,10 +155,8 @@ def is_english(text: Column, header: Column | None = None) -> Column:
 def normal_title(title: Column) -> Column:
     """A title for comparison: lower case, no article at either end, no subtitle, no punctuation, single spaces."""
     t = F.lower(title)
-    for article in ("the ", "a ", "an "):
-        t = F.when(F.startswith(t, F.lit(article)), F.substring(t, F.lit(len(article) + 1), F.length(t))).otherwise(t)
-    for article in (", the", ", a", ", an"):
-        t = F.when(F.endswith(t, F.lit(article)), F.left(t, F.length(t) - len(article))).otherwise(t)
+    for article in ("^the ", "^a ", "^an ", ", the$", ", a$", ", an$"):
+        t = replaced(t, article, "")
     t = F.element_at(F.split(t, "[:\\-—–]"), 1)
     return F.trim(replaced(replaced(t, r"[^\p{L}\p{N}_\s]", ""), r"\s+", " "))
 

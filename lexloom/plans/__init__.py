@@ -1,6 +1,6 @@
 """Queries over the driver's tables, one for each operator that they can exercise."""
 
-from lexloom.plans import dated
+from lexloom.plans import dated, texts
 from lexloom.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "dated"]
+__all__ = ["ORACLES", "QUERIES", "dated", "texts"]
