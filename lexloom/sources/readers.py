@@ -32,8 +32,9 @@ def extracted_articles(pages: DataFrame, site: str, clean, least: int = 100) ->
 
 def json_lines(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
     """JSON lines; blank and malformed ones are dropped."""
-    rows = spark.read.schema(f"{schema}, {CORRUPT} string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
-    return rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    raw = spark.read.text(path).where(F.trim("value") != "")
+    parsed = raw.select(F.from_json("value", f"{schema}, {CORRUPT} string", {"columnNameOfCorruptRecord": CORRUPT}).alias("r")).select("r.*")
+    return parsed.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
 
 
 def bad_json_lines(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:

@@ -52,9 +52,11 @@ def growing_dataset(stream: DataFrame, checkpoint: str, out: str, key: str) -> S
 
 def windowed_counts(stream: DataFrame, time: str, by: str, late: str = "10 minutes", window: str = "1 hour") -> DataFrame:
     """An extension: counts by event-time window, closed once the watermark has passed."""
+    stream = stream.withColumn(time, F.col(time).cast("timestamp"))
     return stream.withWatermark(time, late).groupBy(F.window(time, window), by).agg(F.count(F.lit(1)).alias("n"))
 
 
 def distinct_events(stream: DataFrame, key: str, time: str, late: str = "10 minutes") -> DataFrame:
     """An extension: one row for each key within the lateness."""
+    stream = stream.withColumn(time, F.col(time).cast("timestamp"))
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
