@@ -67,17 +67,19 @@ class Seeds:
             at = np.flatnonzero((left[: len(hashed)] >= span) & ((lengths[item[: len(hashed)]] == only) if only else True))
             order = at[np.argsort(hashed[at], kind="stable")]
             table = hashed[order]
-            seen = np.zeros(1 << 22, bool)
-            seen[table >> np.uint64(42)] = True
-            self.tables.append((table, order, item[order], seen))
+            # a filter that spares most windows the search; its size follows the table's
+            shift = np.uint64(64 - max(16, len(table).bit_length() + 5))
+            seen = np.zeros(1 << 64 - int(shift), bool)
+            seen[table >> shift] = True
+            self.tables.append((table, order, item[order], seen, shift))
 
     def leaks(self, values: np.ndarray, bounds: np.ndarray, similarity: float, least: int) -> list[tuple]:
         """(text, item, start, end, item start, item end, agreeing) for texts with these words."""
         found = []
         doc_of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-        for (reads, span, _), (table, places, items, seen) in zip(self.masks, self.tables, strict=True):
+        for (reads, span, _), (table, places, items, seen, shift) in zip(self.masks, self.tables, strict=True):
             hashed = rolling(values, reads)
-            at = np.flatnonzero(seen[hashed >> np.uint64(42)])
+            at = np.flatnonzero(seen[hashed >> shift])
             at = at[at + span <= bounds[1:][doc_of[at]]]
             low, high = np.searchsorted(table, hashed[at], side="left"), np.searchsorted(table, hashed[at], side="right")
             n = high - low

@@ -105,7 +105,7 @@ def encoded_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, with_
     schema = PIECES + (", ids array<int>" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in tokens.by_bytes(whole, "text")):
+        for batch in (part for whole in batches for part in tokens.by_bytes(whole, "text", tokens.ENCODE_BYTES)):
             ids, bounds = tokens.encode(path, batch.column("text"), end_id)
             doc, start, length = cut(np.diff(bounds), capacity)
             at, view = bounds[doc] + start, memoryview(ids.astype("<u4", copy=False)).cast("B")

@@ -38,10 +38,10 @@ from lexloom.llm.words import ascii_words, hashes, rolling
 
 #: Leading bits of a variant by which it is shuffled.
 PREFIX_BITS = 16
-#: Seeds of the fingerprints of words that find candidates for :func:`near_links`.
-SEEDS = (1, 2, 3, 4)
+#: Seeds and bits of the fingerprints of words that find candidates for :func:`near_links`.
+SEEDS, WORD_BITS = (1, 2, 3, 4), 48
 #: Variants that are compared at a time, and rows whose variants are expanded together if their prefixes allow it.
-CHUNK, ROWS = 1 << 21, 1 << 17
+CHUNK, ROWS = 1 << 19, 1 << 15
 
 
 def shingle_fingerprint(words: list[bytes], size: int, seed: int) -> int:
@@ -86,9 +86,9 @@ def ones(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x)
 
 
-def prefixes(fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def prefixes(fp: np.ndarray, bits: int, width: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """(index of the fingerprint, leading bits): where each fingerprint's variants are to meet."""
-    high = fp >> np.uint64(64 - bits)
+    high = fp >> np.uint64(width - bits)
     even = np.flatnonzero(ones(fp) & 1 == 0)
     out = [(np.arange(len(fp)), high)]
     for n, who in ((1, np.arange(len(fp))), (2, even)):
@@ -97,15 +97,16 @@ def prefixes(fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
 
 
-def variants(prefix: np.ndarray, fp: np.ndarray, n: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def variants(prefix: np.ndarray, fp: np.ndarray, n: int, bits: int, width: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """(index, variant) for the variants with ``n`` flips whose leading bits are ``prefix``."""
-    done = ones(prefix ^ (fp >> np.uint64(64 - bits)))
-    low = np.uint64((1 << 64 - bits) - 1)
+    rest = np.uint64(width - bits)
+    done = ones(prefix ^ (fp >> rest))
+    low = np.uint64((1 << width - bits) - 1)
     out = []
     for f in range(n + 1):
         who = np.flatnonzero(done == f)
-        masks = flips(range(64 - bits), n - f)
-        out.append((np.repeat(who, len(masks)), ((prefix[who, None] << np.uint64(64 - bits)) | (fp[who, None] & low) ^ masks).ravel()))
+        masks = flips(range(width - bits), n - f)
+        out.append((np.repeat(who, len(masks)), ((prefix[who, None] << rest) | (fp[who, None] & low) ^ masks).ravel()))
     return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
 
 
@@ -119,32 +120,32 @@ def star(fp: np.ndarray, who: np.ndarray, variant: np.ndarray) -> tuple[np.ndarr
     return variant[new], hub, own, hub[group] if len(group) else own
 
 
-def meet(prefix: np.ndarray, fp: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def meet(prefix: np.ndarray, fp: np.ndarray, bits: int, width: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Edges between fingerprints whose variants with these leading bits collide."""
     odd = ones(fp) & 1 == 1
     if not len(fp):
         return
     # variants of even parity: one flip of an odd fingerprint, none or two of an even one
-    a, va = variants(prefix[odd], fp[odd], 1, bits)
-    b, vb = variants(prefix[~odd], fp[~odd], 0, bits)
+    a, va = variants(prefix[odd], fp[odd], 1, bits, width)
+    b, vb = variants(prefix[~odd], fp[~odd], 0, bits, width)
     index, hub, own, to = star(np.concatenate([fp[odd], fp[~odd]]), np.concatenate([a, b + odd.sum()]), np.concatenate([va, vb]))
     yield own, to
     even_p, even = prefix[~odd], fp[~odd]
     # a filter on 20 bits of the hubs' variants spares the search for most of the two-flip variants
     spread = np.uint64(0x9E3779B97F4A7C15)
-    width = np.uint64(64 - max(20, int(len(index)).bit_length() + 4))
-    seen = np.zeros(1 << int(np.uint64(64) - width), bool)
-    seen[index * spread >> width] = True
+    drop = np.uint64(64 - max(20, int(len(index)).bit_length() + 4))
+    seen = np.zeros(1 << 64 - int(drop), bool)
+    seen[index * spread >> drop] = True
     step = max(1, CHUNK // 1200)
     for at in range(0, len(even) if len(index) else 0, step):
-        who, variant = variants(even_p[at : at + step], even[at : at + step], 2, bits)
-        near = np.flatnonzero(seen[variant * spread >> width])
+        who, variant = variants(even_p[at : at + step], even[at : at + step], 2, bits, width)
+        near = np.flatnonzero(seen[variant * spread >> drop])
         who, variant = who[near], variant[near]
         found = np.minimum(np.searchsorted(index, variant), len(index) - 1)
         hit = index[found] == variant
         yield even[at : at + step][who[hit]], hub[found[hit]]
     # variants of odd parity: one flip of an even fingerprint
-    who, variant = variants(even_p, even, 1, bits)
+    who, variant = variants(even_p, even, 1, bits, width)
     _, _, own, to = star(even, who, variant)
     yield own, to
 
@@ -160,7 +161,7 @@ def runs(prefix: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         at = to
 
 
-def links(fps: DataFrame, bits: int = PREFIX_BITS, radius: int = 3) -> DataFrame:
+def links(fps: DataFrame, bits: int = PREFIX_BITS, radius: int = 3, width: int = 64) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (column fp) within the radius; what they connect is what all such pairs connect."""
     if radius != 3:
         raise ValueError("the parity argument is made for a radius of three")
@@ -168,7 +169,7 @@ def links(fps: DataFrame, bits: int = PREFIX_BITS, radius: int = 3) -> DataFrame
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column("fp").to_numpy().view(np.uint64)
-            who, prefix = prefixes(fp, bits)
+            who, prefix = prefixes(fp, bits, width)
             yield pa.RecordBatch.from_arrays([pa.array(prefix.astype(np.int32)), pa.array(fp[who].view(np.int64))], ["prefix", "fp"])
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +180,7 @@ def links(fps: DataFrame, bits: int = PREFIX_BITS, radius: int = 3) -> DataFrame
         fp = np.concatenate([x[1] for x in rows]).view(np.uint64)
         order = np.argsort(prefix, kind="stable")
         prefix, fp = prefix[order], fp[order]
-        for a, b in (x for i, j in runs(prefix, ROWS) for x in meet(prefix[i:j], fp[i:j], bits)):
+        for a, b in (x for i, j in runs(prefix, ROWS) for x in meet(prefix[i:j], fp[i:j], bits, width)):
             keep = (a != b) & (ones(a ^ b) <= radius)
             a, b = a[keep], b[keep]
             if len(a):
@@ -213,21 +214,17 @@ def word_fingerprints(docs: DataFrame, seeds: tuple[int, ...]) -> DataFrame:
             pairs, counts = np.unique(text * max(len(words), 1) + index, return_counts=True)
             text, word = pairs // max(len(words), 1), pairs % max(len(words), 1)
             weight = np.sqrt(counts).astype(np.float32)
-            ends = np.searchsorted(text, np.arange(batch.num_rows + 1))
+            ends = np.searchsorted(text, np.arange(batch.num_rows + 1)).tolist()
             columns = [batch.column("doc")]
             for seed in seeds:
-                signs = np.unpackbits(hashes(words, seed).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32) * 2 - 1
+                bits = np.unpackbits(hashes(words, seed).view(np.uint8).reshape(-1, 8)[:, : WORD_BITS // 8], axis=1, bitorder="little")
                 found = np.zeros((batch.num_rows, 64), bool)
-                at = 0
-                while at < batch.num_rows:  # some texts at a time, one at least
-                    to = max(at + 1, int(np.searchsorted(ends, ends[at] + (1 << 18), side="right")) - 1)
-                    own = slice(ends[at], ends[to])
-                    rows = np.cumsum(np.bincount(text[own] - at, minlength=to - at)) if to > at else []
-                    some = np.flatnonzero(np.diff(rows, prepend=0))
-                    if len(some):
-                        sums = np.add.reduceat(signs[word[own]] * weight[own, None], (rows - np.diff(rows, prepend=0))[some], axis=0)
-                        found[at + some] = sums > 0
-                    at = to
+                for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+                    sums = np.zeros(WORD_BITS, np.float32)
+                    for at in range(a, b, 1 << 16):
+                        own = slice(at, min(b, at + (1 << 16)))
+                        sums += weight[own] @ bits[word[own]]
+                    found[i, :WORD_BITS] = 2 * sums > weight[a:b].sum()
                 columns.append(pa.array(np.packbits(found, axis=1, bitorder="little").view(np.int64).ravel()))
             yield pa.RecordBatch.from_arrays(columns, ["doc", *(f"fp{i}" for i in range(len(seeds)))])
 
@@ -276,7 +273,7 @@ def near_links(docs: DataFrame, seeds: tuple[int, ...] = SEEDS, size: int = 5, s
     for i in range(len(seeds)):
         own = prints.select("doc", F.col(f"fp{i}").alias("fp"))
         least = own.groupBy("fp").agg(F.min("doc").alias("low"))
-        near = links(least.select("fp"), bits)
+        near = links(least.select("fp"), bits, width=WORD_BITS)
         pairs = near.join(least.select(F.col("fp").alias("a"), F.col("low").alias("x")), "a").join(least.select(F.col("fp").alias("b"), F.col("low").alias("y")), "b").select("x", "y")
         same = own.join(least, "fp").where("doc <> low").select(F.col("low").alias("x"), F.col("doc").alias("y"))
         both = write_scratch(pairs.unionByName(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), "word-links")

@@ -14,8 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Text bytes that are encoded at a time; one longer text makes a batch of its own.
-BATCH_BYTES = 12 << 20
+#: Text bytes that are worked on, and encoded, at a time; one longer text makes a batch of its own.
+BATCH_BYTES, ENCODE_BYTES = 6 << 20, 12 << 20
 #: White space, then a space.
 AWKWARD = "[\\t-\\r\\x{1c}-\\x{20}\\x{85}\\pZ] "
 
