@@ -44,6 +44,10 @@ def letters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return indexed(pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts, "")), "[^\\pL\\pM]+"), len(texts))
 
 
+def has_letter(texts: pa.Array) -> np.ndarray:
+    return np.asarray(pc.match_substring_regex(pc.fill_null(texts, ""), "\\pL"), dtype=bool)
+
+
 def _hash(parts: list[np.ndarray], salt: int) -> np.ndarray:
     out = np.full(len(parts[0]), salt * 0x9E3779B1 & 0xFFFFFFFF, np.uint32)
     for p in parts:
@@ -272,7 +276,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         for batch in (part for whole in batches for part in by_bytes(whole, "text")):
             index, bounds, words = letters(batch.column("text"))
             share = model.shares(index, bounds, words.to_pylist()) if k else np.zeros((batch.num_rows, 1))
-            some = (np.diff(bounds) > 0) & (k > 0)
+            some = has_letter(batch.column("text")) & (k > 0)
             best = share.argmax(axis=1)
             names = pa.array([model.languages[i] if x else "und" for i, x in zip(best.tolist(), some.tolist(), strict=True)])
             score = np.where(some, np.clip(share.max(axis=1), 0, 1), 0.0)
@@ -284,16 +288,17 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def accept(docs: DataFrame, model: Model, least: float = 0.4, text_col: str = "text") -> DataFrame:
+def accept(docs: DataFrame, model: Model, least: float = 0.3, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, whose language is known: not ``und``, and its score ``least`` at least."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in by_bytes(whole, text_col)):
-            index, bounds, words = letters(batch.column(text_col).cast(pa.string()))
+            texts = batch.column(text_col).cast(pa.string())
+            index, bounds, words = letters(texts)
             k = len(shared.value.languages)
             share = shared.value.shares(index, bounds, words.to_pylist()) if k else np.zeros((batch.num_rows, 1))
-            yield batch.filter(pa.array((np.diff(bounds) > 0) & (share.max(axis=1) >= least)))
+            yield batch.filter(pa.array(has_letter(texts) & (share.max(axis=1) >= least)))
 
     return docs.mapInArrow(run, docs.schema)
 
