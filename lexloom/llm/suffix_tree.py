@@ -35,8 +35,8 @@ from lexloom.llm.tokens import by_bytes
 from lexloom.llm.words import ascii_words, hashes
 
 #: Text bytes of a block, and bytes of a row that holds a part of one.
-BLOCK_BYTES, CHUNK = 6 << 20, 1 << 18
-SHARE, DEVIATIONS, LEAST_NATS = 2e-4, 4.0, 0.01
+BLOCK_BYTES, CHUNK = 3 << 20, 1 << 18
+SHARE, DEVIATIONS, LEAST_NATS = 3e-4, 4.0, 0.01
 #: The hash that stands for a text's end, and the bits of a candidate word's code. A pair's code is its place among
 #: the candidate pairs, after all words' codes.
 END, CODE_BITS = 0, 20
@@ -82,6 +82,7 @@ class Block:
 
     @staticmethod
     def from_rows(table: pa.Table) -> Block:
+        pa.default_memory_pool().release_unused()  # workers go from block to block; what is kept would add up
         docs, ids, words = pickle.loads(b"".join(table.sort_by("chunk")["data"].to_pylist()))
         d = unpack(docs)
         bounds = np.concatenate([[0], np.cumsum(d["n"].to_numpy())]).astype(np.int64)
@@ -181,7 +182,7 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, train: Column) -> DataFr
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), train.alias("train"), F.col(text_col).cast("string").alias("text"))
     found = rows.mapInArrow(run, "block long, chunk int, tokens long, texts long, data binary")
     name = f"suffix_tree_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # a task then sorts few blocks
     found.write.bucketBy(buckets, "block").option("path", scratch_path(spark, name)).saveAsTable(name)
     return spark.table(name)
 
