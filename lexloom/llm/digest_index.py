@@ -68,7 +68,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index
     docs, key = keyed(docs, id_col)
     index = index or DigestIndex(spark, scratch_path(spark, "digest-index"))
     stay = write_scratch(index.ingest(docs, key, text_col).where("kept").select(F.col("doc_id").alias("__stay")), "stay")
-    return docs.join(stay, docs[key] == stay["__stay"], "left_semi").drop(ROW)
+    return docs.join(stay.hint("merge"), docs[key] == stay["__stay"], "left_semi").drop(ROW)
 
 
 def op4_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -178,7 +178,8 @@ def links(fps: DataFrame, bits: int = PREFIX_BITS, radius: int = 3, width: int =
             return
         prefix = np.concatenate([x[0] for x in rows]).astype(np.uint64)
         fp = np.concatenate([x[1] for x in rows]).view(np.uint64)
-        order = np.argsort(prefix, kind="stable")
+        # by fingerprint within a prefix: variants that meet anywhere then agree on their hub where they can
+        order = np.lexsort((fp, prefix))
         prefix, fp = prefix[order], fp[order]
         for a, b in (x for i, j in runs(prefix, ROWS) for x in meet(prefix[i:j], fp[i:j], bits, width)):
             keep = (a != b) & (ones(a ^ b) <= radius)
@@ -247,11 +248,12 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
 
 
 def alike(docs: DataFrame, candidates: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Those candidate pairs (a, b) of documents whose sets of shingles have this Jaccard similarity at least."""
+    """Pairs among the candidates (a < b) whose sets of shingles have this Jaccard similarity at least; what they connect is what all such
+    pairs connect. First each document is held against its least partner; then those pairs are verified whose ends aren't
+    connected by then, so that a dense group costs little more than a pair a document."""
     candidates = write_scratch(candidates, "candidates")
     used = candidates.select(F.col("a").alias("doc")).unionByName(candidates.select(F.col("b").alias("doc"))).distinct()
     sets = write_scratch(shingle_sets(docs.join(used, "doc", "left_semi"), size), "shingles")
-    pairs = candidates.join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc").alias("b"), F.col("shingles").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -262,11 +264,20 @@ def alike(docs: DataFrame, candidates: DataFrame, size: int, similarity: float)
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], ["a", "b"])
 
-    return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    def verified(pairs: DataFrame) -> DataFrame:
+        found = pairs.join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc").alias("b"), F.col("shingles").alias("y")), "b")
+        return write_scratch(found.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "verified")
+
+    first = verified(candidates.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    roots = write_scratch(components(first), "first-roots")
+    rest = candidates.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
+    rest = rest.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+    least = candidates.groupBy("b").agg(F.min("a").alias("a"))
+    return first.unionByName(verified(rest.join(least, ["a", "b"], "left_anti")))
 
 
 def near_links(docs: DataFrame, seeds: tuple[int, ...] = SEEDS, size: int = 5, similarity: float = 0.8, bits: int = 12) -> DataFrame:
-    """Verified links (a, b) between documents (doc, text): pairs whose fingerprints of words collide within the radius for one
+    """Verified links (a, b) between documents (doc, text), enough to connect all pairs whose fingerprints of words collide within the radius for one
     of the seeds, and whose shingles of ``size`` words are alike."""
     prints = write_scratch(word_fingerprints(docs, seeds), "word-fingerprints")
     found = None
@@ -290,7 +301,7 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     near = clusters(docs, key, text_col).where("doc_id <> component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
     groups = components(near.unionByName(near_links(narrow)))
     gone = write_scratch(groups.where("node <> root").select(F.col("node").alias("__gone")), "gone")
-    return docs.join(gone, docs[key] == gone["__gone"], "left_anti").drop(ROW)
+    return docs.join(gone.hint("merge"), docs[key] == gone["__gone"], "left_anti").drop(ROW)
 
 
 def op2_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
