@@ -37,7 +37,7 @@ q AS (SELECT DISTINCT query_id, unnest({_TERMS.format('query')}) AS term FROM (V
 n AS (SELECT term, field, count(*) AS df FROM p GROUP BY ALL)
 SELECT q.query_id, p.doc, p.field, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / avg_length))) * CASE p.field WHEN 'title' THEN 3.0 WHEN 'section_title' THEN 2.0 ELSE 1.0 END AS score
 FROM q JOIN p USING (term) JOIN n USING (term, field) JOIN t USING (field) JOIN l ON l.doc = p.doc AND l.field = p.field GROUP BY q.query_id, p.doc, p.field) GROUP BY ALL"""
-TOP = "SELECT query_id, doc, round(score, 9) AS score, (row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc))::INT AS rank FROM ({0}) QUALIFY rank <= {1}"
+TOP = "SELECT query_id, doc, round(score, 6) AS score, (row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc))::INT AS rank FROM ({0}) QUALIFY rank <= {1}"
 KNN = """SELECT q.vec_id AS query_id, e.vec_id AS doc, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS cosine,
 (row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) DESC, e.vec_id))::INT AS rank
 FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0 QUALIFY rank <= {0}"""
@@ -55,10 +55,10 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc"), "embedding")
 
 
-@query(f"SELECT query_id, doc, round(score, 6) AS score, rank FROM ({TOP.format(BM25, 10)})")
+@query(f"SELECT query_id, doc, round(score, 4) AS score, rank FROM ({TOP.format(BM25, 10)})")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = retrieval.top(retrieval.bm25(retrieval.query_terms(asked(spark)), index(spark, sf_dir)), 10, 9)
-    return hits.select("query_id", "doc", F.round("score", 6).alias("score"), "rank")
+    hits = retrieval.top(retrieval.bm25(retrieval.query_terms(asked(spark)), index(spark, sf_dir)), 10, 6)
+    return hits.select("query_id", "doc", F.round("score", 4).alias("score"), "rank")
 
 
 @query(f"""WITH p AS (SELECT DISTINCT unnest({_TERMS.format('text')}) AS other FROM documents), q AS (SELECT DISTINCT query_id, unnest({_TERMS.format('query')}) AS term FROM (VALUES {_ASKED}) AS v(query_id, query))
@@ -74,7 +74,7 @@ def fuzzy_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fuzzy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = index(spark, sf_dir, english=True)
     terms = retrieval.fuzzy_terms(retrieval.query_terms(asked(spark), english=True), found)
-    return retrieval.search_results(retrieval.top(retrieval.bm25(terms, found), 10, 9), searchable(spark, sf_dir), "doc_id")
+    return retrieval.search_results(retrieval.top(retrieval.bm25(terms, found), 10, 6), searchable(spark, sf_dir), "doc_id")
 
 
 @query(f"SELECT query_id, doc, round(cosine, 6) AS cosine, rank FROM ({KNN.format(10)})")
@@ -101,7 +101,7 @@ s AS (SELECT *, coalesce(1.0::DOUBLE / (60 + kr), 0) + coalesce(1.0::DOUBLE / (6
 SELECT query_id, doc, round(score, 9) AS score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, kr ASC NULLS LAST, vr ASC NULLS LAST, doc))::INT AS rank FROM s QUALIFY rank <= 10""")
 def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0 AND vec_id < 250").select((F.col("vec_id") / 50 + 1).cast("int").alias("query_id"), "embedding")
-    keyword = retrieval.top(retrieval.bm25(retrieval.query_terms(asked(spark)), index(spark, sf_dir)), 20, 9)
+    keyword = retrieval.top(retrieval.bm25(retrieval.query_terms(asked(spark)), index(spark, sf_dir)), 20, 6)
     found = retrieval.fused(keyword, retrieval.knn(corpus(spark, sf_dir), v, 20), 10)
     return found.select("query_id", "doc", F.round("score", 9).alias("score"), "rank")
 
@@ -111,7 +111,7 @@ SELECT query_id, doc, round(0.4::DOUBLE * sim + 0.4::DOUBLE * least(score / 20,
 def relevance_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
-    hits = retrieval.top(retrieval.bm25(retrieval.query_terms(asked(spark)), index(spark, sf_dir)), 10, 9)
+    hits = retrieval.top(retrieval.bm25(retrieval.query_terms(asked(spark)), index(spark, sf_dir)), 10, 6)
     hits = hits.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("query_id")))
     r = retrieval.relevance(F.col("doc") % 100 / 100.0, F.col("score"), F.col("rank") - 1, F.col("n"))
     return hits.select("query_id", "doc", r["relevance_score"].alias("relevance_score"), r["search_score"].alias("search_score"), r["position_factor"].alias("position_factor"))
@@ -120,7 +120,7 @@ def relevance_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH h AS (SELECT h.*, q.query, d.title FROM ({TOP.format(BM25, 5)}) h JOIN (VALUES {_ASKED}) AS q(query_id, query) USING (query_id) JOIN ({_DOCS}) d ON d.doc_id = h.doc)
 SELECT query_id, doc FROM h QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY lower(title) = lower(query) DESC, rank) = 1""")
 def best_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = retrieval.top(retrieval.bm25(retrieval.query_terms(asked(spark)), index(spark, sf_dir)), 5, 9)
+    hits = retrieval.top(retrieval.bm25(retrieval.query_terms(asked(spark)), index(spark, sf_dir)), 5, 6)
     titles = searchable(spark, sf_dir).select(F.col("doc_id").alias("doc"), "title")
     return retrieval.best_title(hits.join(titles, "doc").join(F.broadcast(asked(spark)), "query_id"))
 
