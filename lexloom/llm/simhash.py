@@ -161,23 +161,28 @@ def runs(prefix: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         at = to
 
 
-def links(fps: DataFrame, bits: int = PREFIX_BITS, radius: int = 3, width: int = 64) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints (column fp) within the radius; what they connect is what all such pairs connect."""
+def links(fps: DataFrame, bits: int = PREFIX_BITS, radius: int = 3, width: int = 64, name: str = "fp") -> DataFrame:
+    """Edges (a, b) between distinct fingerprints (column fp) within the radius; what they connect is what all such pairs connect.
+    The ends are named by the column ``name``, a long that goes along with the fingerprint."""
     if radius != 3:
         raise ValueError("the parity argument is made for a radius of three")
+    named = name != "fp"
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column("fp").to_numpy().view(np.uint64)
             who, prefix = prefixes(fp, bits, width)
-            yield pa.RecordBatch.from_arrays([pa.array(prefix.astype(np.int32)), pa.array(fp[who].view(np.int64))], ["prefix", "fp"])
+            columns = [pa.array(prefix.astype(np.int32)), pa.array(fp[who].view(np.int64))] + ([batch.column("name").take(pa.array(who))] if named else [])
+            yield pa.RecordBatch.from_arrays(columns, ["prefix", "fp", "name"][: len(columns)])
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(b.column("prefix").to_numpy(), b.column("fp").to_numpy()) for b in batches]
+        rows = [[c.to_numpy() for c in b.columns] for b in batches]
         if not rows:
             return
-        prefix = np.concatenate([x[0] for x in rows]).astype(np.uint64)
-        fp = np.concatenate([x[1] for x in rows]).view(np.uint64)
+        prefix, fp, *names = (np.concatenate(c) for c in zip(*rows, strict=True))
+        prefix, fp = prefix.astype(np.uint64), fp.view(np.uint64)
+        known, at = np.unique(fp, return_index=True)
+        label = names[0][at] if named else known.view(np.int64)
         # by fingerprint within a prefix: variants that meet anywhere then agree on their hub where they can
         order = np.lexsort((fp, prefix))
         prefix, fp = prefix[order], fp[order]
@@ -186,9 +191,11 @@ def links(fps: DataFrame, bits: int = PREFIX_BITS, radius: int = 3, width: int =
             a, b = a[keep], b[keep]
             if len(a):
                 pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy().view(np.int64)), pa.array(pairs[:, 1].copy().view(np.int64))], ["a", "b"])
+                ends = [label[np.searchsorted(known, pairs[:, i])] for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(e) for e in ends], ["a", "b"])
 
-    rows = fps.mapInArrow(emit, "prefix int, fp long")
+    rows = fps.select("fp", *([F.col(name).alias("name")] if named else []))
+    rows = rows.mapInArrow(emit, "prefix int, fp long" + (", name long" if named else ""))
     return rows.repartition("prefix").mapInArrow(match, "a long, b long").distinct()
 
 
@@ -284,10 +291,9 @@ def near_links(docs: DataFrame, seeds: tuple[int, ...] = SEEDS, size: int = 5, s
     for i in range(len(seeds)):
         own = prints.select("doc", F.col(f"fp{i}").alias("fp"))
         least = own.groupBy("fp").agg(F.min("doc").alias("low"))
-        near = links(least.select("fp"), bits, width=WORD_BITS)
-        pairs = near.join(least.select(F.col("fp").alias("a"), F.col("low").alias("x")), "a").join(least.select(F.col("fp").alias("b"), F.col("low").alias("y")), "b").select("x", "y")
+        near = links(least, bits, width=WORD_BITS, name="low").select(F.col("a").alias("x"), F.col("b").alias("y"))
         same = own.join(least, "fp").where("doc <> low").select(F.col("low").alias("x"), F.col("doc").alias("y"))
-        both = write_scratch(pairs.unionByName(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), "word-links")
+        both = write_scratch(near.unionByName(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), "word-links")
         found = both if found is None else found.unionByName(both)
     return alike(docs, found.distinct(), size, similarity)
 
