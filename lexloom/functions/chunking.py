@@ -34,15 +34,20 @@ def overlap_chunks(text: Column, size: int = 1024, overlap: int = 128) -> Column
         raise ValueError("the overlap must be shorter than the window")
     step = window - shared
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    n = F.size(words)
-    count = F.when(n == 0, 0).otherwise(F.ceil(F.greatest(n - window, F.lit(0)) / step) + 1).cast("int")
-    index = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(
-        index,
-        lambda i: F.struct(
-            i.alias("chunk_id"), (i * step).alias("start_word"), F.least(i * step + window, n).alias("end_word"), F.array_join(F.slice(words, i * step + 1, window), " ").alias("text")
-        ),
-    )
+
+    def windows(words: Column) -> Column:
+        n = F.size(words)
+        count = F.when(n == 0, 0).otherwise(F.ceil(F.greatest(n - window, F.lit(0)) / step) + 1).cast("int")
+        index = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(
+            index,
+            lambda i: F.struct(
+                i.alias("chunk_id"), (i * step).alias("start_word"), F.least(i * step + window, n).alias("end_word"), F.array_join(F.slice(words, i * step + 1, window), " ").alias("text")
+            ),
+        )
+
+    # bound to a variable, the words are split once and not for each window
+    return F.element_at(F.transform(F.array(words), lambda w: windows(w)), 1)
 
 
 def sections(text: Column, least: int = 50, first: str = "Introduction", whole: str = "Article") -> Column:
