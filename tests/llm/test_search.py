@@ -79,6 +79,23 @@ def test_chain_scores(matches):
         assert whole
 
 
+def test_passages_with_fragments_in_earlier_documents(make):
+    rng = np.random.default_rng(5)
+    rows, expected, n = [], set(), 0
+    for order in ("abWW", "aWbW", "WabW", "aWabWaW"):
+        whole, held = words(rng, 60), 0
+        for kind in order:
+            part = {"a": whole[:36], "b": whole[24:], "W": whole}[kind]
+            rows.append((n, " ".join([*words(rng, 30 + n % 7), *part, *words(rng, 30)])))
+            if kind == "W" and held:
+                expected.add(n)
+            held += kind == "W"
+            n += 1
+    found = [r for r in passages.passages(make(rows)).collect() if r.agreeing >= 60]
+    assert {r.doc_id for r in found} == expected
+    assert all(r.other_id < r.doc_id and r.similarity == 1.0 for r in found)
+
+
 def test_removal(make):
     rng = np.random.default_rng(2)
     shared = words(rng, 70)
