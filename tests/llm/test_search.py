@@ -96,6 +96,20 @@ def test_passages_with_fragments_in_earlier_documents(make):
     assert all(r.other_id < r.doc_id and r.similarity == 1.0 for r in found)
 
 
+def test_all_copies_of_a_passage_in_a_document(make):
+    rng = np.random.default_rng(6)
+    passage, line, other = words(rng, 60), words(rng, 25), words(rng, 50)
+    rows = [(1, " ".join([*words(rng, 30), *passage, *words(rng, 33)])), (2, " ".join([*words(rng, 20), *passage, *words(rng, 40), *passage, *words(rng, 20)]))]
+    rows += [(3, " ".join([*words(rng, 20), *line, *other])), (4, " ".join([*line, *words(rng, 50), *line, *other]))]
+    docs = make(rows)
+    found = passages.passages(docs)
+    spans = {(r.doc_id, r.other_id, r.start, r.end) for r in found.collect()}
+    assert {(2, 1, 20, 80), (2, 1, 120, 180), (4, 3, 75, 150)} <= spans
+    out = {r.doc_id: r.text for r in passages.remove(docs, found).collect()}
+    text = " ".join(passage)
+    assert [out[i].count(text) for i in (1, 2)] == [1, 0]
+
+
 def test_removal(make):
     rng = np.random.default_rng(2)
     shared = words(rng, 70)
