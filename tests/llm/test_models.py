@@ -109,6 +109,13 @@ def test_held_out_scores_beat_the_root(spark):
     assert held.s > held.b
 
 
+def test_contexts_of_one_in_four_thousand_symbols(make):
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 200_000, 3980)) + " rare follower") for i in range(10)]
+    found = suffix_tree.score(make(rows), F.lit(True)).agg(F.sum("n_in_context").alias("n"), F.max("train_tokens").alias("t")).first()
+    assert 2e-4 < 10 / found.t < 3e-4 and found.n >= 10
+
+
 def test_forward_backward():
     rng = np.random.default_rng(0)
     k = 3
