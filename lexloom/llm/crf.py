@@ -7,7 +7,8 @@ switches between languages is labelled word by word; the text's language is the
 mean is the score.
 
 Fitted on a bounded sample: at most about ``DOCS_PER_LANGUAGE`` labelled texts of up to ``SAMPLE_BYTES`` bytes for each of the
-``LANGUAGES`` most frequent languages, chosen by a hash of the id, cut into ``SEQUENCES`` sequences, a third of which are made to
+``LANGUAGES`` most frequent languages, chosen by a hash of the id, cut into ``SEQUENCES`` sequences,
+drawn in turn from each language (short texts and the tails of others run together), a third of which are made to
 switch in the middle. Prediction takes whole texts: they are cut into segments whose transfer matrices are
 multiplied along the text, so the result is that of one pass, and a long text costs no more steps than a short one.
 
@@ -201,16 +202,22 @@ def fit(texts: list[tuple[str, str]], seed: int = 7) -> Model:
             if own[i, j] > 0:
                 lexicons[words[i]] = lexicons.get(words[i], 0) | 1 << j
     model = Model(languages, np.zeros((BUCKETS + k, k)), np.zeros((k, k)), np.zeros(k), lexicons)
-    # sequences of LENGTH words; of every third one, the second half comes from another text
+    # sequences of LENGTH words, drawn in turn from each language; of every third one, the second half comes from another text
     rng = np.random.default_rng(seed)
-    starts = np.concatenate([np.arange(a, b - LENGTH + 1, LENGTH) for a, b in zip(bounds[:-1], bounds[1:], strict=True)] or [np.zeros(0, int)])
-    if not len(starts):  # only short texts: run them together
-        starts = np.arange(0, max(1, len(index) - LENGTH + 1), LENGTH)
-    starts = rng.permutation(starts)[:SEQUENCES].astype(np.int64)
-    length = min(LENGTH, len(index))
-    if not length:
+    length, drawn, turn = LENGTH, [], []
+    if not len(index):
         return model
-    at = starts[:, None] + np.arange(length)
+    text = np.repeat(np.arange(len(texts)), np.diff(bounds))
+    whole = np.arange(len(index)) < (bounds[:-1] + np.diff(bounds) // length * length)[text]
+    for j in range(k):
+        # short texts and the tails of others are run together, and filled up with the language's first words
+        rest = np.flatnonzero((label == j) & ~whole)
+        fill = np.resize(np.flatnonzero(label == j), -len(rest) % length)
+        own = np.concatenate([np.flatnonzero((label == j) & whole), rest, fill]).reshape(-1, length)
+        drawn.append(rng.permutation(own))
+        turn.append(np.arange(len(own)))
+    at = np.concatenate(drawn)[np.argsort(np.concatenate(turn), kind="stable")[:SEQUENCES]].astype(np.int64)
+    at = rng.permutation(at)
     mixed = np.arange(len(at)) % 3 == 0
     at[mixed, length // 2 :] = rng.permutation(at[mixed])[:, length // 2 :]
     seq, gold = index[at], label[at]

@@ -152,6 +152,18 @@ def test_code_switching():
     assert 0.3 < share[0][0] < 0.7
 
 
+def test_languages_of_short_texts_only():
+    rng = np.random.default_rng(8)
+    made = {lang: [f"{end}{x}{end}" for x in "abcdefghij"] for lang, end in (("aa", "k"), ("bb", "ou"), ("cc", "z"))}
+    say = lambda lang, n: " ".join(rng.choice(made[lang], n))
+    long = [("aa", say("aa", 200)) for _ in range(40)] + [("bb", say("bb", 200)) for _ in range(40)]
+    model = crf.fit(long + [("cc", say("cc", 12)) for _ in range(40)])
+    texts = [(lang, say(lang, 20)) for lang in made for _ in range(5)]
+    index, bounds, distinct = crf.letters(pa.array([t for _, t in texts]))
+    share = model.shares(index, bounds, distinct.to_pylist())
+    assert [model.languages[i] for i in share.argmax(axis=1)] == [lang for lang, _ in texts]
+
+
 def test_languages_odd(odd, empty):
     model = crf.train(odd)
     rows = crf.identify(odd, model).collect()
