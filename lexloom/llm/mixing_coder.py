@@ -1,17 +1,14 @@
 """Token ids in files, coded by an adaptive context-mixing range coder.
 
-File format: a folder of Parquet parts in ascending id order, one row per segment. A segment's payload is ``LEXR``, the number of
-blocks, and the blocks. A block has up to ``BLOCK`` ids and can be read by itself: a header (ids, different ids, words of code,
-CRC-32 of the ids, little-endian), the different ids as gaps, and the code. The segment's documents (id, number of ids) are columns
-of the row.
+File format: a folder of Parquet parts in ascending id order, one row per segment. A segment's payload is ``LEXM``, the number of
+blocks, and the blocks. A block has up to ``BLOCK`` ids and can be read by itself: a header (ids, bytes of code, CRC-32 of the
+ids, little-endian), and the code, which begins with the different ids as gaps. The segment's documents (id, ids before it in the segment,
+number of ids) are columns of the row.
 
-Model of a block, started anew in each: the order-2 and order-1 predictions are the ids that last followed the last two ids
-(hashed) and the last one, each with a confidence; they get a part of the coding interval that follows how often such predictions came
-true, adaptively for each confidence. The rest goes to the order-0 prediction, the counts so far of the block's ids, put in
-proportion every ``REFRESH`` ids. So one step of arithmetic coding takes one id, through the first of the three that predicts it. Interval
-arithmetic is a carry-less range coder with 64 bits that moves 32 bits at a time.
-
-Coding is done for all blocks of a segment at once, a step for each: the blocks are independent, and NumPy runs over them.
+Model of a block, started anew in each (``jvm/MixingCoder.java``): the distributions of order 0, 1 and 2 over the next id are mixed
+with weights that are learned as it is coded, and the mixed probabilities share out the interval of a range coder. Each id depends on
+those before it, so the loop over a block's ids is Java, compiled by the compiler that Spark has for its own code; it
+runs in the executors' JVMs as a function of a binary column, and reading the files back needs no Python at all.
 
 Defined results: a null text counts as empty and has its end id only; null ids come first; repeated rows are written each,
 in any order; an empty table has no segments; a damaged block raises an error. Other columns aren't read.
@@ -19,295 +16,82 @@ in any order; an empty table has no segments; a damaged block raises an error. O
 
 from __future__ import annotations
 
-import struct
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexloom.llm import tokens
+from lexloom.llm import jvm, tokens
 from lexloom.llm.common import scratch_path
 
-MAGIC, HEADER = b"LEXR", struct.Struct("<IIII")
-BLOCK, REFRESH, SLOTS = 2048, 1024, 2048
-#: Bits of order-0 proportions and of the share of a prediction.
-SCALE, SHARE = 13, 16
-BOUND, LOW32 = np.uint64(1 << 32), np.uint64(0xFFFFFFFF)
-SEGMENT_BYTES = 12 << 20
-
-
-class BlockModel:
-    """The adaptive state of many blocks side by side: lane i has ``kinds[i]`` different symbols.
-
-    A table's cell holds a symbol and, in its two lowest bits, the confidence in it: 0 none yet, up to 3.
-    """
-
-    def __init__(self, kinds: np.ndarray) -> None:
-        lanes = len(kinds)
-        self.lanes, self.kinds, self.width = lanes, kinds, int(kinds.max()) + 1
-        lane = np.arange(lanes, dtype=np.int64)
-        self.row, self.slot, self.four = lane * self.width, lane * SLOTS, lane * 4
-        self.one_table, self.two_table = np.zeros(lanes * self.width, np.int32), np.zeros(lanes * SLOTS, np.int32)
-        start = np.array([0, 20000, 40000, 52000], np.int32)
-        self.one_rate, self.two_rate = np.tile(start, lanes), np.tile(start, lanes)
-        self.count = np.zeros((lanes, self.width), np.int32)
-        self.flat_count = self.count.ravel()
-        self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.real = (np.arange(self.width) < kinds[:, None]).astype(np.int32)
-        self.steps = 0
-
-    def refresh(self, inverse: bool) -> None:
-        """Order-0 proportions from the counts so far: one for each symbol and the rest by count. A cell holds what lies below a
-        symbol and, in its lowest bits, the symbol's own part."""
-        room = (1 << SCALE) - self.kinds
-        share = self.count * (room / max(self.steps, 1)).astype(np.float32)[:, None]
-        part = share.astype(np.int32) + self.real
-        part[np.arange(self.lanes), self.count.argmax(axis=1)] += ((1 << SCALE) - part.sum(axis=1)).astype(np.int32)
-        below = np.cumsum(part, axis=1, dtype=np.int32) - part
-        self.zero = (below << SCALE + 1 | part).ravel()
-        if inverse:
-            self.inverse = np.repeat(np.tile(np.arange(self.width, dtype=np.int16), self.lanes), part.ravel())
-
-    def predict(self) -> None:
-        """The two predictions and the parts of the interval that they get."""
-        self.one_at, self.two_at = self.row + self.last, self.slot + ((self.last * 0x2F + self.before * 0x9E5) & SLOTS - 1)
-        self.one_cell, self.two_cell = self.one_table[self.one_at], self.two_table[self.two_at]
-        self.one_trust, self.two_trust = self.one_cell & 3, self.two_cell & 3
-        self.one_of, self.two_of = self.four + self.one_trust, self.four + self.two_trust
-        self.one_share, self.two = self.one_rate[self.one_of], self.two_rate[self.two_of]
-        self.one = self.one_share * np.int64((1 << SHARE)) - self.one_share * self.two.astype(np.int64) >> SHARE
-        self.upto = self.two + self.one
-        self.rest = (1 << SHARE) - self.upto
-
-    def interval(self, symbol: np.ndarray, hit_two: np.ndarray, hit_one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(begin, width) of the symbol's part, of 2^(SCALE + SHARE)."""
-        self.spot = self.row + symbol
-        zero = self.zero[self.spot]
-        begin = (self.upto << SCALE) + self.rest * (zero >> SCALE + 1)
-        width = self.rest * (zero & (2 << SCALE) - 1)
-        two, one = np.flatnonzero(hit_two), np.flatnonzero(hit_one)
-        begin[two], width[two] = 0, self.two[two] << SCALE
-        begin[one], width[one] = self.two[one] << SCALE, self.one[one] << SCALE
-        return begin.view(np.uint64), width.view(np.uint64)
-
-    def update(self, symbol: np.ndarray, hit_two: np.ndarray, hit_one: np.ndarray) -> None:
-        new = (symbol << 2 | 1).astype(np.int32)
-        for table, at, cell, trust, rates, of, rate, hit, tried in (
-            (self.two_table, self.two_at, self.two_cell, self.two_trust, self.two_rate, self.two_of, self.two, hit_two, self.two_trust > 0),
-            (self.one_table, self.one_at, self.one_cell, self.one_trust, self.one_rate, self.one_of, self.one_share, hit_one, (self.one_trust > 0) & ~hit_two),
-        ):
-            right = (cell >> 2 == new >> 2) & (trust > 0)
-            # right: more confidence; wrong but confident: less; else the new symbol
-            table[at] = np.where(right, np.minimum(cell + 1, cell | 3), np.where(trust > 1, cell - 1, new))
-            rates[of] = np.where(tried, np.maximum(rate + ((hit * np.int32(60000) - rate) >> 5), 64), rate)
-        self.flat_count[self.spot] += 1
-        self.before, self.last = self.last, symbol
-        self.steps += 1
-
-
-def narrowed(low: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(lanes that move 32 bits, sizes): those whose leading bits are settled, or cut so that they are."""
-    settled = (low ^ (low + size)) < BOUND
-    cut = ~settled & (size < BOUND)
-    if cut.any():
-        size[cut] = (np.uint64(0) - low[cut]) & LOW32
-    return np.flatnonzero(settled | cut), size
-
+#: Ids that learn one model, and text bytes of a segment (a longer text has a segment of its own).
+BLOCK, SEGMENT_BYTES = 1 << 18, 12 << 20
 
-def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """The code of each block of ids."""
-    out: list[bytes] = [b""] * len(blocks)
-    full = [i for i, b in enumerate(blocks) if len(b) == BLOCK]
-    for group in ([*full],) * bool(full) + tuple([i] for i, b in enumerate(blocks) if 0 < len(b) < BLOCK):
-        pairs = [np.unique(blocks[i], return_inverse=True) for i in group]
-        kinds = np.array([len(p[0]) for p in pairs], np.int64)
-        symbols = np.stack([p[1] for p in pairs], axis=1).astype(np.int64)
-        words, used = _encode(symbols, kinds)
-        for lane, i in enumerate(group):
-            code = words[lane, : used[lane]].astype("<u4").tobytes()
-            gaps = np.diff(pairs[lane][0].astype(np.int64), prepend=0).astype("<u4")
-            alphabet = _varints(gaps)
-            ids = blocks[i].astype("<u4")
-            out[i] = HEADER.pack(len(ids), len(gaps), used[lane], zlib.crc32(ids.tobytes())) + alphabet + code
-    return out
 
+def encoded(ids: str, block: int = BLOCK) -> Column:
+    """The payload of a binary column of little-endian 32-bit ids; the session must have the functions of :mod:`lexloom.llm.jvm`."""
+    return F.call_function("lexloom_encode_ids", F.col(ids), F.lit(block))
 
-def _encode(symbols: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    steps, lanes = symbols.shape
-    model = BlockModel(kinds)
-    low, size = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    words, used = np.zeros((lanes, steps + 8), np.uint32), np.zeros(lanes, np.int64)
-    shift = np.uint64(SCALE + SHARE)
-    for t in range(steps):
-        if t % REFRESH == 0:
-            model.refresh(False)
-        x = symbols[t]
-        model.predict()
-        hit_two = (model.two_cell >> 2 == x) & (model.two_trust > 0)
-        hit_one = (model.one_cell >> 2 == x) & (model.one_trust > 0) & ~hit_two
-        begin, width = model.interval(x, hit_two, hit_one)
-        size >>= shift
-        low += begin * size
-        size *= width
-        move, size = narrowed(low, size)
-        if len(move):
-            words[move, used[move]] = (low[move] >> np.uint64(32)).astype(np.uint32)
-            used[move] += 1
-            low[move] <<= np.uint64(32)
-            size[move] <<= np.uint64(32)
-        model.update(x, hit_two, hit_one)
-    for _ in range(2):
-        words[np.arange(lanes), used] = (low >> np.uint64(32)).astype(np.uint32)
-        used += 1
-        low = low << np.uint64(32)
-    return words, used
 
-
-def decode_blocks(data: bytes) -> list[np.ndarray]:
-    """The ids of each block of a payload."""
-    if data[:4] != MAGIC:
-        raise ValueError("not a payload of this format")
-    (n,) = struct.unpack_from("<I", data, 4)
-    at, parts = 8, []
-    for _ in range(n):
-        length, kinds, used, crc = HEADER.unpack_from(data, at)
-        alphabet, at = _unvarints(data, at + HEADER.size, kinds)
-        parts.append((length, np.cumsum(alphabet), np.frombuffer(data, "<u4", used, at), crc))
-        at += 4 * used
-    out: list[np.ndarray] = [np.zeros(0, np.uint32)] * n
-    full = [i for i, p in enumerate(parts) if p[0] == BLOCK]
-    for group in ([*full],) * bool(full) + tuple([i] for i, p in enumerate(parts) if 0 < p[0] < BLOCK):
-        most = max(len(parts[i][2]) for i in group)
-        words = np.zeros((len(group), most + 2), np.uint32)
-        for lane, i in enumerate(group):
-            words[lane, : len(parts[i][2])] = parts[i][2]
-        symbols = _decode(words, np.array([len(parts[i][1]) for i in group], np.int64), parts[group[0]][0])
-        for lane, i in enumerate(group):
-            out[i] = parts[i][1][symbols[:, lane]].astype(np.uint32)
-            if zlib.crc32(out[i].astype("<u4").tobytes()) != parts[i][3]:
-                raise ValueError(f"block {i} is damaged")
-    return out
-
-
-def _decode(words: np.ndarray, kinds: np.ndarray, steps: int) -> np.ndarray:
-    lanes = len(kinds)
-    model = BlockModel(kinds)
-    low, size = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    code = words[:, 0].astype(np.uint64) << np.uint64(32) | words[:, 1].astype(np.uint64)
-    used = np.full(lanes, 2, np.int64)
-    out = np.empty((steps, lanes), np.int64)
-    shift, last = np.uint64(SCALE + SHARE), np.uint64((1 << SCALE + SHARE) - 1)
-    lane_start, top = np.arange(lanes, dtype=np.int64) << SCALE, kinds - 1
-    for t in range(steps):
-        if t % REFRESH == 0:
-            model.refresh(True)
-        model.predict()
-        unit = size >> shift
-        spot = np.minimum((code - low) // np.maximum(unit, np.uint64(1)), last).view(np.int64)
-        share = spot >> SCALE
-        hit_two = share < model.two
-        hit_one = ~hit_two & (share < model.upto)
-        # both numbers are below 2^29, so the quotient of floats rounds down exactly
-        place = ((spot - (model.upto << SCALE)) / model.rest).astype(np.int64)
-        np.maximum(place, 0, out=place)
-        x = model.inverse[lane_start + np.minimum(place, (1 << SCALE) - 1)].astype(np.int64)
-        two, one = np.flatnonzero(hit_two), np.flatnonzero(hit_one)
-        x[two], x[one] = model.two_cell[two] >> 2, model.one_cell[one] >> 2
-        np.minimum(x, top, out=x)  # only a damaged block has others
-        begin, width = model.interval(x, hit_two, hit_one)
-        low += begin * unit
-        size = width * unit
-        move, size = narrowed(low, size)
-        if len(move):
-            low[move] <<= np.uint64(32)
-            size[move] <<= np.uint64(32)
-            code[move] = code[move] << np.uint64(32) | words[move, np.minimum(used[move], words.shape[1] - 1)]
-            used[move] += 1
-        out[t] = x
-        model.update(x, hit_two, hit_one)
-    return out
-
-
-def _varints(values: np.ndarray) -> bytes:
-    """Seven bits a byte, least first; the last byte of a number has its top bit set."""
-    out = bytearray()
-    for v in values.tolist():
-        while v > 127:
-            out.append(v & 127)
-            v >>= 7
-        out.append(v | 128)
-    return bytes(out)
-
-
-def _unvarints(data: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
-    raw = np.frombuffer(data, np.uint8, min(5 * n, len(data) - at), at)
-    ends = np.flatnonzero(raw & 128)[:n]
-    if len(ends) < n:
-        raise ValueError("a block's alphabet is damaged")
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    out = np.zeros(n, np.int64)
-    for k in range(5):
-        part = starts + k
-        inside = part <= ends
-        out[inside] |= (raw[part[inside]] & 127).astype(np.int64) << 7 * k
-    return out, at + (int(ends[-1]) + 1 if n else 0)
-
-
-def payload(ids: np.ndarray) -> bytes:
-    blocks = [ids[i : i + BLOCK] for i in range(0, len(ids), BLOCK)]
-    return MAGIC + struct.pack("<I", len(blocks)) + b"".join(encode_blocks(blocks))
+def decoded(payload: str) -> Column:
+    """The ids of a payload, as :func:`encoded` takes them; a damaged payload raises an error."""
+    return F.call_function("lexloom_decode_ids", F.col(payload))
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer_path: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode the texts and write their ids below ``path``, in ascending id order."""
     where = tokenizer_path or tokens.default_path()
+    jvm.register(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, segment = TaskContext.get().partitionId(), 0
         for batch in (part for whole in batches for part in tokens.by_bytes(whole, "text", SEGMENT_BYTES)):
             ids, bounds = tokens.encode(where, batch.column("text"), end_id)
-            row = [[part], [segment], [len(ids)], [batch.column("doc_id").to_pylist()], [np.diff(bounds).tolist()], [payload(ids)]]
-            types = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types, strict=True)], ["part", "segment", "n_ids", "doc_ids", "lengths", "payload"])
+            row = [[part], [segment], [len(ids)], [batch.column("doc_id").to_pylist()], [bounds[:-1].tolist()], [np.diff(bounds).tolist()], [ids.astype("<u4").tobytes()]]
+            types = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types, strict=True)], ["part", "segment", "n_ids", "doc_ids", "offsets", "lengths", "ids"])
             segment += 1
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    rows.mapInArrow(run, "part int, segment int, n_ids long, doc_ids array<long>, lengths array<long>, payload binary").write.option("compression", "none").parquet(path)
+    # the text's hash parts rows that share one id
+    rows = rows.withColumn("salt", F.xxhash64("text")).repartitionByRange("doc_id", "salt").sortWithinPartitions("doc_id", "salt").drop("salt")
+    rows = rows.mapInArrow(run, "part int, segment int, n_ids long, doc_ids array<long>, offsets array<long>, lengths array<long>, ids binary")
+    rows.select("part", "segment", "n_ids", "doc_ids", "offsets", "lengths", encoded("ids").alias("payload")).write.option("compression", "none").parquet(path)
 
 
 def read_ids(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     """One row per document of the files: doc_id, start (ids before it), n_tokens, ids_crc32, and its ids if wanted."""
+    jvm.register(spark)
     files = spark.read.parquet(path)
     # a row for each segment: about a millionth of the ids
     before = files.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", (F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("part_start"))
     inside = Window.partitionBy("part").orderBy("segment").rowsBetween(Window.unboundedPreceding, 0)
     starts = files.select("part", "segment", (F.sum("n_ids").over(inside) - F.col("n_ids")).alias("own_start")).join(before, "part")
     starts = starts.select("part", "segment", (F.col("own_start") + F.col("part_start")).alias("start"))
-    schema = "part int, segment int, doc_id long, offset long, n_tokens long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
-                ids = np.concatenate([*decode_blocks(row["payload"]), np.zeros(0, np.uint32)])
-                n = np.array(row["lengths"], np.int64)
-                if n.sum() != len(ids):
-                    raise ValueError("a segment doesn't have the ids of its documents")
-                ends, view = np.cumsum(n), memoryview(ids.astype("<u4")).cast("B")
-                sums = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True)]
-                cols = [np.full(len(n), row["part"], np.int32), np.full(len(n), row["segment"], np.int32), pa.array(row["doc_ids"], pa.int64()), ends - n, n, np.array(sums, np.int64)]
-                if with_ids:
-                    cols.append(pa.ListArray.from_arrays(pa.array(np.append(ends - n, len(ids)).astype(np.int32)), pa.array(ids.astype(np.int32))))
-                yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in cols], [x.split()[0] for x in schema.split(", ")])
+    def document(ids: Column, d: Column) -> Column:
+        own = F.substring(ids, F.lit(1) + 4 * d["offsets"].cast("int"), 4 * d["lengths"].cast("int"))
+        return F.struct(d["doc_ids"].alias("doc_id"), d["offsets"].alias("offset"), d["lengths"].alias("n_tokens"), F.crc32(own).alias("ids_crc32"), *([own.alias("raw")] if with_ids else []))
 
-    rows = files.select("part", "segment", "doc_ids", "lengths", "payload").mapInArrow(run, schema)
+    # a list of one, so that a payload is decoded once for all its documents
+    whole = F.transform(F.array(decoded("payload")), lambda ids: F.when(F.octet_length(ids) == 4 * F.col("n_ids"), ids).otherwise(F.raise_error(F.lit("a segment doesn't have the ids of its documents"))))
+    found = F.flatten(F.transform(whole, lambda ids: F.transform(F.arrays_zip("doc_ids", "offsets", "lengths"), lambda d: document(ids, d))))
+    rows = files.select("part", "segment", F.explode(found).alias("d")).select("part", "segment", "d.*")
     out = rows.join(starts, ["part", "segment"])
-    return out.select("doc_id", (F.col("start") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))
+    out = out.select("doc_id", (F.col("start") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32", *(["raw"] if with_ids else []))
+    return out.mapInArrow(numbers, "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>") if with_ids else out
+
+
+def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column's little-endian 32-bit numbers as lists."""
+    for batch in batches:
+        raw = [np.frombuffer(x.as_buffer(), "<i4") for x in batch.column("raw")]
+        ends = np.cumsum([0, *map(len, raw)]).astype(np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*raw, np.zeros(0, np.int32)])))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], [*batch.schema.names[:-1], "ids"])
 
 
 def op8_mixing_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
