@@ -96,6 +96,44 @@ def test_passages_with_fragments_in_earlier_documents(make):
     assert all(r.other_id < r.doc_id and r.similarity == 1.0 for r in found)
 
 
+def test_a_passage_whose_pieces_lie_in_many_earlier_documents(make):
+    """Two long documents share 80 words, of which fifteen lesser documents hold 24, and as many 32, each."""
+    for piece in (24, 32):
+        rng = np.random.default_rng(piece)
+        passage = words(rng, 80)
+        rows = [(i, " ".join([*words(rng, 40), *passage[4 * i : 4 * i + piece], *words(rng, 40)])) for i in range(15)]
+        rows += [(i, " ".join([*words(rng, 90 + i), *passage, *words(rng, 50)])) for i in (100, 101)]
+        found = passages.passages(make(rows)).collect()
+        assert [(r.doc_id, r.other_id, r.agreeing) for r in found if r.doc_id > 99] == [(101, 100, 80)]
+
+
+def test_passages_equal_all_pairs(spark):
+    """Exactly the documents that share forty words in a row with a lesser one are found, but for fuzzy passages, and those agree."""
+    sf = "/root/testdata/sf0.001"
+    found = passages.op3_chained_passages(spark, sf).collect()
+    from lexloom.llm.words import letter_words
+    import pyarrow as pa
+
+    rows = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()
+    index, bounds, _ = letter_words(pa.array([r.text for r in rows]))
+    own = {r.doc_id: index[bounds[n] : bounds[n + 1]] for n, r in enumerate(rows)}
+    holders = {}
+    for doc, seq in own.items():
+        for j in range(len(seq) - 39):
+            holders.setdefault(seq[j : j + 40].tobytes(), set()).add(doc)
+    exact = {doc for docs in holders.values() for doc in docs if doc != min(docs)}
+    assert exact <= {r.doc_id for r in found}
+    for r in found:
+        a, b = own[r.doc_id][r.start : r.end].tolist(), own[r.other_id][r.other_start : r.other_end].tolist()
+        assert r.other_id < r.doc_id and min(len(a), len(b)) >= 40
+        table = [0] * (len(b) + 1)
+        for x in a:
+            before = 0
+            for j, y in enumerate(b):
+                before, table[j + 1] = table[j + 1], before + 1 if x == y else max(table[j + 1], table[j])
+        assert r.agreeing == table[-1] >= 0.8 * max(len(a), len(b))
+
+
 def test_all_copies_of_a_passage_in_a_document(make):
     rng = np.random.default_rng(6)
     passage, line, other = words(rng, 60), words(rng, 25), words(rng, 50)
