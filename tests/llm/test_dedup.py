@@ -137,3 +137,106 @@ def test_near_copies_go_and_others_stay(make):
         t[20 + i], t[150 - i] = "other", "another"
         rows.append((100 + i, " ".join(t)))
     assert sorted(r.doc_id for r in simhash.representatives(make(rows)).collect()) == list(range(30))
+
+
+def similarity(a, b, size=5):
+    x, y = ({tuple(t.split()[i : i + size]) for i in range(max(1, len(t.split()) - size + 1))} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_like_documents_with_an_unlike_hub(make):
+    """Documents 2, 3 and 5 are alike; document 1 has the same words in another order, and 4 too, so that their fingerprints are one."""
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(300)]
+    near = list(words)
+    near[150] = near[151] = "w7"
+    texts = {1: rng.permutation(words), 2: words, 3: near, 4: rng.permutation(words), 5: words[:-2] + ["w1"]}
+    assert similarity(" ".join(texts[2]), " ".join(texts[3])) > 0.9
+    kept = simhash.representatives(make([(i, " ".join(t)) for i, t in texts.items()])).collect()
+    assert sorted(r.doc_id for r in kept) == [1, 2, 4]
+
+
+def test_links_in_a_chain_of_copies(make):
+    """Each copy is made from the one before it; only neighbours are alike, and all are one group."""
+    rng = np.random.default_rng(8)
+    text, rows = [f"w{i}" for i in rng.integers(0, 9000, 240)], []
+    for i in range(60):
+        rows.append((int(rng.integers(0, 1 << 40)), " ".join(text)))
+        text[int(rng.integers(0, 240))] = f"new{i}"
+    assert all(similarity(a, b) > 0.9 for (_, a), (_, b) in zip(rows, rows[1:], strict=False)) and similarity(rows[0][1], rows[-1][1]) < 0.4
+    assert [r.doc_id for r in simhash.representatives(make(rows)).collect()] == [min(i for i, _ in rows)]
+
+
+def test_recall_by_kind_of_edit(make):
+    """At least nine in ten pairs of a similarity of 0.8 or more come together, whatever the edit; no others do."""
+    rng = np.random.default_rng(9)
+    fresh = iter(range(1 << 30))
+    more = lambda n: [f"new{next(fresh)}" for _ in range(n)]
+    kinds = {
+        "append": lambda t, n: t + more(n),
+        "prepend": lambda t, n: more(n) + t,
+        "truncate": lambda t, n: t[: len(t) - n],
+        "cut head": lambda t, n: t[n:],
+        "insert": lambda t, n: t[: (at := int(rng.integers(0, len(t)))) ] + more(n) + t[at:],
+        "remove": lambda t, n: t[: (at := int(rng.integers(0, len(t) - n + 1)))] + t[at + n :],
+    }
+    rows, pairs = [], {}
+    for kind, edit in kinds.items():
+        for size in (14, 30, 38, 60, 200, 700):
+            for _ in range(16):
+                text = [f"w{i}" for i in rng.zipf(1.3, size) % 3000]
+                other = edit(list(text), max(1, int(size * rng.uniform(0.02, 0.22))))
+                if 0.8 <= similarity(" ".join(text), " ".join(other)) < 1:
+                    pairs.setdefault(kind, []).append((len(rows), len(rows) + 1))
+                rows += [(len(rows), " ".join(text)), (len(rows) + 1, " ".join(other))]
+    for share in (0.005, 0.01, 0.015, 0.02, 0.025):
+        for size in (60, 200, 700):
+            for _ in range(12):
+                text = [f"w{i}" for i in rng.zipf(1.3, size) % 3000]
+                other = [x if rng.random() > share else f"s{i}" for i, x in enumerate(text)]
+                if 0.8 <= similarity(" ".join(text), " ".join(other)) < 1:
+                    pairs.setdefault("substitute", []).append((len(rows), len(rows) + 1))
+                rows += [(len(rows), " ".join(text)), (len(rows) + 1, " ".join(other))]
+    found = {r.node: r.root for r in simhash.near_links(make(rows).selectExpr("doc_id AS doc", "text")).collect()}
+    recall = {kind: (round(float(np.mean([found.get(a) == found.get(b, -1) for a, b in own])), 3), len(own)) for kind, own in pairs.items()}
+    assert all(share >= 0.9 and n >= 25 for share, n in recall.values()), recall
+    texts = dict(rows)
+    assert all(similarity(texts[a], texts[b]) >= 0.8 for a, b in found.items() if a != b)
+
+
+def test_near_duplicates_equal_all_pairs(spark, make):
+    """The stage's groups over all documents of a table, against all pairs of them."""
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    first = {}
+    for i in sorted(docs):
+        first.setdefault(docs[i], i)
+    ids = sorted(first.values())
+    sets = {}
+    for i in ids:
+        words = docs[i].encode().lower().split()
+        sets[i] = {b" ".join(words[j : j + 5]) for j in range(max(1, len(words) - 4))} if words else {b""}
+    holders = {}
+    for i in ids:
+        for s in sets[i]:
+            holders.setdefault(s, []).append(i)
+    shared = {}
+    for own in holders.values():
+        for n, i in enumerate(own):
+            for j in own[:n]:
+                shared[j, i] = shared.get((j, i), 0) + 1
+    true = {p for p, n in shared.items() if n >= 0.8 * (len(sets[p[0]]) + len(sets[p[1]]) - n)}
+    narrow = make([(i, docs[i]) for i in ids]).selectExpr("doc_id AS doc", "text")
+    found = {r.node: r.root for r in simhash.near_links(narrow).collect()}
+    joined = [p for p in true if found.get(p[0]) == found.get(p[1], -1)]
+    assert len(true) > 4 and len(joined) >= 0.9 * len(true)
+    parent = {i: i for i in ids}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in true:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    assert all(find(a) == find(b) for a, b in found.items())
