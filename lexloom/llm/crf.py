@@ -6,8 +6,8 @@ learned transitions tie neighbouring words together, and forward-backward sums o
 switches between languages is labelled word by word; the text's language is the one with the largest mean probability, and that
 mean is the score.
 
-Fitted on a bounded sample: at most about ``DOCS_PER_LANGUAGE`` labelled texts of up to ``SAMPLE_BYTES`` bytes for each of the
-``LANGUAGES`` most frequent languages, chosen by a hash of the id, cut into ``SEQUENCES`` sequences,
+Fitted on a bounded sample: about ``DOCS_PER_LANGUAGE`` different labelled texts of up to ``SAMPLE_BYTES`` bytes for each
+language, chosen by a hash of id and text (a language that has longer texts only gives their first ``SAMPLE_BYTES`` characters), cut into ``SEQUENCES`` sequences,
 drawn in turn from each language (short texts and the tails of others run together), a third of which are made to
 switch in the middle. Prediction takes whole texts: they are cut into segments whose transfer matrices are
 multiplied along the text, so the result is that of one pass, and a long text costs no more steps than a short one.
@@ -32,7 +32,7 @@ from lexloom.llm.common import id_fold
 from lexloom.llm.tokens import by_bytes
 from lexloom.llm.words import indexed
 
-DOCS_PER_LANGUAGE, SAMPLE_BYTES, LANGUAGES = 500, 20_000, 64
+DOCS_PER_LANGUAGE, SAMPLE_BYTES = 500, 20_000
 SEQUENCES, LENGTH, EPOCHS, BATCH, RATE = 6000, 64, 4, 500, 0.3
 #: Hashed features, and words of each lexicon.
 BUCKETS, LEXICON = 1 << 16, 300
@@ -262,13 +262,17 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_co
     """A model from a sample of the labelled rows of ``docs`` whose bounds are this module's constants."""
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id"))
     rows = rows.where("lang IS NOT NULL AND text IS NOT NULL")
-    usable = rows.where(F.octet_length("text") <= SAMPLE_BYTES)
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    share = F.lit(-1.0)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], F.lit(DOCS_PER_LANGUAGE / r["count"])).otherwise(share)
-    chosen = usable.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share * 1_000_000)
-    sample = chosen.limit(2 * DOCS_PER_LANGUAGE * max(1, len(counts))).select("lang", "text").collect()
+    short = F.octet_length("text") <= SAMPLE_BYTES
+    counts = rows.groupBy("lang").agg(F.count_if(short).alias("short"), F.count(F.lit(1)).alias("all")).collect()
+    if not counts:
+        return fit([])
+    # parts of 2^40, by language: of the short texts where there are any, else of all
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], int(min(1.0, DOCS_PER_LANGUAGE / (r["short"] or r["all"])) * (1 << 40)))])
+    some = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], r["short"] > 0)])
+    hashed = rows.withColumn("h", F.pmod(F.xxhash64("id", "text"), F.lit(1 << 40)))
+    chosen = hashed.where((F.col("h") < F.element_at(share, F.col("lang"))) & (short | ~F.element_at(some, F.col("lang"))))
+    # copies have one hash: they count once, so that the sample stays as small as it is meant to be
+    sample = chosen.select("lang", F.substring("text", 1, SAMPLE_BYTES).alias("text"), "h").dropDuplicates(["lang", "h"]).select("lang", "text").collect()
     return fit(sorted((r["lang"], r["text"]) for r in sample))
 
 

@@ -297,7 +297,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if len(count) < 2:
         return Model(characters, None, 0.0)
     share = F.when(F.col("label") == 1, PER_CLASS / count[1]).otherwise(PER_CLASS / count[0])
-    chosen = verdicts.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000).limit(4 * PER_CLASS)
+    # parts of 2^40: about PER_CLASS of each class, however many there are
+    chosen = verdicts.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < share * float(1 << 40))
     shared = docs.sparkSession.sparkContext.broadcast(characters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,8 +314,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array((pairs % FEATURES).astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("doc_id"), lists], ["label", "doc_id", "features"])
 
-    # the sample is bounded by its limit, and so is its broadcast
-    sample = short.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").mapInArrow(run, "label int, doc_id long, features array<int>").toArrow().sort_by("doc_id")
+    # one text for an id; the sample is about PER_CLASS of each class, and so is its broadcast
+    sample = short.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "label", "text").mapInArrow(run, "label int, doc_id long, features array<int>").toArrow().sort_by("doc_id")
     if len(sample) == 0 or len(pc.unique(sample["label"])) < 2:
         return Model(characters, None, 0.0)
     lists = sample["features"].combine_chunks()

@@ -22,6 +22,32 @@ def test_index_keeps_what_it_has(spark, make):
     assert again.read().count() == 3
 
 
+def test_index_keeps_its_buckets(spark, make):
+    path = scratch_path(spark, "test-buckets")
+    first = digest_index.DigestIndex(spark, path, buckets=4)
+    docs = make([(i, f"text {i}") for i in range(500)])
+    assert sum(r.kept for r in first.ingest(docs).collect()) == 500
+    spark.sql(f"DROP TABLE {first.table}")
+    again = digest_index.DigestIndex(spark, path, buckets=8)
+    assert again.buckets == 4
+    assert sum(r.kept for r in again.ingest(docs).collect()) == 0 and again.read().count() == 500
+
+
+def test_a_batch_that_comes_again_gets_its_first_verdict(spark, make):
+    index = digest_index.DigestIndex(spark, scratch_path(spark, "test-again"), buckets=4)
+    index.ingest(make([(900, "text 3"), (901, "other")]), batch="first")
+    docs = make([(i, f"text {i % 40}") for i in range(60)])
+    verdict = lambda rows: sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in rows.collect())
+    found = verdict(index.ingest(docs, batch="second"))
+    assert verdict(index.ingest(docs, batch="second")) == found and index.read().count() == 41
+    assert sum(x[3] for x in found) == 39 and [x[1] for x in found if x[0] in (3, 43)] == [900, 900]
+    # half of the batch was appended when the driver was lost
+    half = digest_index.DigestIndex(spark, scratch_path(spark, "test-half"), buckets=4)
+    half.ingest(make([(i, f"text {i % 40}") for i in range(60) if i % 40 < 20]), batch="b")
+    rows = verdict(half.ingest(docs, batch="b"))
+    assert sum(x[3] for x in rows) == 40 == half.read().count() and all(x[1] == max(i for i in range(60) if i % 40 == x[0] % 40) for x in rows)
+
+
 def test_anti_join_is_sort_merge_on_buckets(spark, make):
     index = digest_index.DigestIndex(spark, scratch_path(spark, "test-plan"), buckets=8)
     index.ingest(make([(1, "a")]))

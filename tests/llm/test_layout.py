@@ -49,6 +49,18 @@ def test_shards_odd(odd, empty, tmp_path):
     assert hilbert.hilbert_shards(hilbert.metadata(empty), ["size"], 5).count() == 0
 
 
+def test_text_dimension_orders_by_whole_values(spark, monkeypatch):
+    """Long values with one beginning still part the rows, also where only some of the values are counted."""
+    docs = spark.range(4000).selectExpr("id AS doc_id", "concat('https://www.example.org/', lpad(id * 7919 % 4000, 5, '0')) AS source")
+    for values in (10_000, 500):
+        monkeypatch.setattr(hilbert, "VALUES", values)
+        bounds = hilbert.text_bounds(docs, "source", 16)
+        assert bounds == sorted(bounds) and len(bounds) == 15
+        sizes = docs.groupBy(hilbert.text_code(docs["source"], bounds)).count().collect()
+        assert len(sizes) == 16 and max(r["count"] for r in sizes) < 4000 / 16 * 2.5
+    assert hilbert.text_bounds(docs.limit(0), "source", 16) == []
+
+
 def test_one_cell_is_ranked_in_parts(spark):
     same = spark.range(1000).selectExpr("id AS doc_id", "1 AS size")
     check_shards(hilbert.hilbert_shards(same, ["size"], 7, splits=16).collect(), 1000, 7)
