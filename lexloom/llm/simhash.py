@@ -39,7 +39,7 @@ from lexloom.llm.tokens import by_bytes
 from lexloom.llm.words import ascii_words, hashes, mix, rolling
 
 #: Seeds and bits of the fingerprints of words that find candidates for :func:`near_links`.
-SEEDS, WORD_BITS = (1, 2), 48
+SEEDS, WORD_BITS = (1, 2, 3), 48
 #: Part lengths are powers of ``STEP``, two of them a document: the longest within ``HALF`` of a document of ``LONG`` words or more, and within the whole of a shorter one
 #: (up to ``SHORT`` words, so that documents on either side of the bound have lengths in common).
 STEP, HALF, LONG, SHORT = 1.25, 0.55, 24, 40
@@ -238,18 +238,18 @@ def part_lengths(n: int) -> list[int]:
     return sorted(out)
 
 
-def segment_sums(signs: np.ndarray, index: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    """Sums of signs[index] between each cut (ascending, the first is 0) and the next one or the end."""
-    out = np.zeros((len(cuts), signs.shape[1]), np.int64)
-    for at in range(0, len(index), 1 << 16):
+def segment_sums(values: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """How many of the values have each of the first ``WORD_BITS`` bits, between each cut (ascending, the first is 0) and the next one or the end."""
+    out = np.zeros((len(cuts), WORD_BITS), np.int64)
+    for at in range(0, len(values), 1 << 16):
         first, last = int(np.searchsorted(cuts, at, side="right")) - 1, int(np.searchsorted(cuts, at + (1 << 16), side="left"))
-        own = np.maximum(cuts[first:last] - at, 0)
-        out[first:last] += np.add.reduceat(signs[index[at : at + (1 << 16)]], own, axis=0, dtype=np.int64)
+        bits = np.unpackbits(values[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8)[:, : WORD_BITS // 8], axis=1, bitorder="little")
+        out[first:last] += np.add.reduceat(bits, np.maximum(cuts[first:last] - at, 0), axis=0, dtype=np.int64)
     return out
 
 
 def word_fingerprints(docs: DataFrame, seeds: tuple[int, ...]) -> DataFrame:
-    """(doc, fp): for each seed a fingerprint of the text's distinct words weighed by the root of their counts, and one each for parts at its beginning and its
+    """(doc, fp): for each seed a fingerprint of the text's distinct words weighed by the root of their counts, and one each, of pairs of words, for parts at its beginning and its
     end: edits that are spread over a text change few words of the whole, and those in one place leave one of its ends alone."""
 
     def whole_prints(words: pa.Array, text: np.ndarray, word: np.ndarray, weight: np.ndarray, n: int) -> Iterator[np.ndarray]:
@@ -265,19 +265,19 @@ def word_fingerprints(docs: DataFrame, seeds: tuple[int, ...]) -> DataFrame:
                 found[i, :WORD_BITS] = 2 * sums > weight[a:b].sum()
             yield np.packbits(found, axis=1, bitorder="little").view(np.int64).ravel()
 
-    def part_prints(signs: np.ndarray, index: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def part_prints(pairs: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         sizes = np.diff(bounds).tolist()
         lengths = {n: part_lengths(n) for n in set(sizes)}
-        ends = [(i, a, b) for i, n in enumerate(sizes) for x in lengths[n] for a, b in ((0, x), (n - x, n))]
+        ends = [(i, a, b - 1) for i, n in enumerate(sizes) for x in lengths[n] for a, b in ((0, x), (n - x, n))]
         if not ends:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         who, begin, end = (np.array(x, np.int64) for x in zip(*ends, strict=True))
         begin, end = bounds[who] + begin, bounds[who] + end
         cuts = np.unique(np.concatenate([[0], begin, end]))
-        cuts = cuts[cuts < len(index)]
-        sums = np.concatenate([np.zeros((1, WORD_BITS), np.int64), np.cumsum(segment_sums(signs, index, cuts), axis=0)])
+        cuts = cuts[cuts < len(pairs)]
+        sums = np.concatenate([np.zeros((1, WORD_BITS), np.int64), np.cumsum(segment_sums(pairs, cuts), axis=0)])
         found = np.zeros((len(who), 64), bool)
-        found[:, :WORD_BITS] = sums[np.searchsorted(cuts, end)] > sums[np.searchsorted(cuts, begin)]
+        found[:, :WORD_BITS] = 2 * (sums[np.searchsorted(cuts, end)] - sums[np.searchsorted(cuts, begin)]) > (end - begin)[:, None]
         return who, np.packbits(found, axis=1, bitorder="little").view(np.int64).ravel()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,8 +288,7 @@ def word_fingerprints(docs: DataFrame, seeds: tuple[int, ...]) -> DataFrame:
             pairs, counts = np.unique(text * max(len(words), 1) + index, return_counts=True)
             text, word = pairs // max(len(words), 1), pairs % max(len(words), 1)
             prints = [*whole_prints(words, text, word, np.sqrt(counts).astype(np.float32), n)]
-            signs = np.unpackbits(hashes(words, 0).view(np.uint8).reshape(-1, 8)[:, : WORD_BITS // 8], axis=1, bitorder="little").astype(np.int8) * 2 - 1
-            who, parts = part_prints(signs, index, bounds)
+            who, parts = part_prints(rolling(hashes(words)[index], [0, 1]), bounds)
             doc = pa.array(np.concatenate([np.tile(np.arange(n), len(prints)), who]))
             yield pa.RecordBatch.from_arrays([batch.column("doc").take(doc), pa.array(np.concatenate([*prints, parts]))], ["doc", "fp"])
 
@@ -349,7 +348,7 @@ def alike(docs: DataFrame, stars: DataFrame, size: int, similarity: float) -> Da
     ``stars`` (hub, doc).
 
     First each document is held against its least hub, then against the others that it isn't connected with. A hub may be unlike documents that
-    are alike, so where the documents of a hub aren't all connected, those apart are held against one another: against four of them, then sixteen, and so on up to
+    are alike, so where the documents of a hub aren't all connected, those apart are held against one another: against sixteen of them, then 256, and so on up to
     all, by a hash of their ids. In a dense group nothing is left after a few; pairs that differ in length or in their sketches can't be alike and aren't read."""
     stars = write_scratch(stars.where("hub <> doc").distinct(), "stars")
     used = stars.select("doc").unionByName(stars.select(F.col("hub").alias("doc"))).distinct()
@@ -387,12 +386,13 @@ def alike(docs: DataFrame, stars: DataFrame, size: int, similarity: float) -> Da
         members = write_scratch(placed, "members")
         most = members.agg(F.max("n")).first()[0] or 0
         at = F.pmod(F.xxhash64("doc"), F.lit(1 << 40)) * F.col("n") / F.lit(float(1 << 40))
-        level, before = 4 * level, level if level > 1 else 0
+        level, before = 16 * level, level if level > 1 else 0
         heads = members.where((at >= before) & (at < level)).select("hub", *[F.col(c).alias(f"{c}_") for c in ("doc", "root", "size", "s0", "s1", "s2", "s3")])
         differ = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"s{i}_"))) for i in range(4)), F.lit(0))
         near = (F.least("size", "size_") >= similarity * F.greatest("size", "size_")) & (differ <= SKETCH_RADIUS)
         pairs = members.join(heads, "hub").where((F.col("root") != F.col("root_")) & near).select(F.least("doc", "doc_").alias("a"), F.greatest("doc", "doc_").alias("b")).distinct()
-        roots = merged(roots, verified(pairs)) if most else roots
+        more = verified(pairs) if most else pairs
+        roots = roots if more.isEmpty() else merged(roots, more)
         members = members.drop("root", "n")
     return roots
 
