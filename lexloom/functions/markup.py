@@ -148,7 +148,7 @@ def _events_of_item(item: _Node, year: int, month: int | None, prefix: str) -> l
 
     first = (item.own("a") or item.find("a") or [None])[0]
     date = (dated(first.text().strip()) if first else None) or (month, None, "")
-    nested = item.own("ul")
+    nested = item.own("ul") + item.own("ol")
     if nested:
         texts = [(_clean(sub.text()), sub) for sub in nested[0].own("li")]
         return [event(t, sub, date) for t, sub in texts if t]
@@ -175,7 +175,7 @@ def _year_events(html: str | None, year: int, prefix: str) -> list[dict] | None:
             elif c.tag == "h3" and inside:
                 name = re.sub(r"\[.*", "", c.text()).strip().lower()
                 month = MONTHS.index(name) + 1 if name in MONTHS else month
-            elif c.tag == "ul" and inside:
+            elif c.tag in ("ul", "ol") and inside:
                 for item in c.own("li"):
                     out.extend(_events_of_item(item, year, month, prefix))
             else:

@@ -13,10 +13,13 @@ from lexloom.functions import dates, entities
 
 
 def property_dates(statements: DataFrame, properties: list[str], subject: Column, text: str = "statement") -> DataFrame:
-    """(entity, date): one date for each statement that has one of the properties as a whole token."""
-    pattern = r"(?:^|[\s;])(?:" + "|".join(rf"\Q{p}\E" for p in properties) + r")(?=\s)"
-    after = F.regexp_extract(F.col(text), pattern + r'\s+("[^"]+")', 1)
-    return statements.select(subject.alias("entity"), dates.literal_date(F.when(F.length(after) > 0, after)).alias("date")).where("entity IS NOT NULL AND date IS NOT NULL")
+    """(entity, date): every date of a statement that one of the properties, as a whole token, has: properties part by semicolons and the
+    dates of one by commas."""
+    objects = r'("[^"]*"[^\s;,]*(?:\s*,\s*"[^"]*"[^\s;,]*)*)'
+    pattern = r"(?:^|[\s;])(?:" + "|".join(rf"\Q{p}\E" for p in properties) + r")\s+" + objects
+    literals = F.flatten(F.transform(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(1)), lambda x: F.regexp_extract_all(x, F.lit('("[^"]+")'), F.lit(1))))
+    found = statements.select(subject.alias("entity"), F.explode(literals).alias("literal"))
+    return found.select("entity", dates.literal_date(F.col("literal")).alias("date")).where("entity IS NOT NULL AND date IS NOT NULL")
 
 
 def date_ranges(dated: DataFrame, entity: str = "entity", date: str = "date") -> DataFrame:
@@ -68,6 +71,24 @@ def normalize(rows: DataFrame, articles: DataFrame, redirects: DataFrame, langli
     return out.where("page_id IS NOT NULL") if skip_missing else out
 
 
+def containing(queries: DataFrame, keyed: DataFrame) -> DataFrame:
+    """Articles (id, title, __key) whose key contains a query in lower case. A title with the query has all its trigrams: the titles are joined by the query's
+    rarest one, then verified. A query of one or two characters has none; its articles are sought by those characters."""
+
+    def grams(text: Column, n: int) -> Column:
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda i: F.substring(text, i, F.lit(n))))
+
+    asked = queries.select("query", F.lower("query").alias("__q")).where("__q <> ''")
+    size = F.least(F.length("__q"), F.lit(3))
+    wanted = asked.select("query", "__q", F.explode(F.when(size == 3, grams(F.col("__q"), 3)).otherwise(F.array("__q"))).alias("__gram"))
+    held = keyed.where("__key <> ''").select("id", "title", "__key", F.explode(F.array_distinct(F.concat(grams(F.col("__key"), 1), grams(F.col("__key"), 2), grams(F.col("__key"), 3)))).alias("__gram"))
+    held = held.join(wanted.select("__gram").distinct(), "__gram", "left_semi")
+    counts = held.groupBy("__gram").agg(F.count(F.lit(1)).alias("__n"))
+    rarest = wanted.join(counts, "__gram", "left").groupBy("query", "__q").agg(F.min_by("__gram", F.struct(F.coalesce("__n", F.lit(0)), "__gram")).alias("__gram"))
+    every = queries.where("query = ''").crossJoin(keyed).select("query", "id", "title")  # the empty query, one at most, is in all titles
+    return rarest.join(held, "__gram").where(F.contains("__key", F.col("__q"))).select("query", "id", "title").unionByName(every)
+
+
 def title_lookup(queries: DataFrame, articles: DataFrame, redirects: DataFrame, query: str = "query") -> DataFrame:
     """(query, id, title, how): by the title in any case, else the shortest title that contains the query, else through a redirect. Ties
     by id. Articles are matched by an equi-join first; the containing titles are sought for the rest only."""
@@ -75,8 +96,7 @@ def title_lookup(queries: DataFrame, articles: DataFrame, redirects: DataFrame,
     keyed = articles.select("id", "title", F.lower("title").alias("__key"))
     exact = q.join(keyed, F.lower("query") == F.col("__key")).select("query", "id", "title", F.lit("exact").alias("how"), F.lit(1).alias("__rank"))
     rest = q.join(exact.select("query").distinct(), "query", "left_anti")
-    # a question's few titles against all articles: the smaller side is broadcast if Spark finds it small enough
-    within = rest.join(keyed, F.expr("contains(__key, lower(query))")).select("query", "id", "title", F.lit("contains").alias("how"), F.lit(2).alias("__rank"))
+    within = containing(rest, keyed).select("query", "id", "title", F.lit("contains").alias("how"), F.lit(2).alias("__rank"))
     moved = redirects.select(F.lower("source_title").alias("__source"), F.lower("target_title").alias("__key"))
     via = rest.join(moved, F.lower("query") == F.col("__source")).join(keyed, "__key").select("query", "id", "title", F.lit("redirect").alias("how"), F.lit(3).alias("__rank"))
     every = exact.unionByName(within).unionByName(via)

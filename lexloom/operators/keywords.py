@@ -26,9 +26,11 @@ def theme_count(text: Column, words: Column, keywords: list[str]) -> Column:
 
 def keyword_counts(df: DataFrame, lexicon: dict[str, list[str]], text: str = "text") -> DataFrame:
     """``df`` with an int column for each theme, and ``total``."""
-    out = df.withColumn("__words", words_of(F.coalesce(F.col(text), F.lit(""))))
-    out = out.withColumns({theme: theme_count(F.coalesce(F.col(text), F.lit("")), F.col("__words"), words) for theme, words in lexicon.items()})
-    return out.withColumn("total", sum((F.col(t) for t in lexicon), F.lit(0))).drop("__words")
+    whole = F.coalesce(F.col(text), F.lit(""))
+    # a list of one and a generator, so that the words are split once for all themes and whatever filters follow
+    counts = F.transform(F.array(words_of(whole)), lambda words: F.struct(*[theme_count(whole, words, own).alias(theme) for theme, own in lexicon.items()]))
+    counts = F.transform(counts, lambda c: F.struct(*[c[t].alias(t) for t in lexicon], sum((c[t] for t in lexicon), F.lit(0)).alias("total")))
+    return df.select("*", F.inline(counts))
 
 
 def as_map(df: DataFrame, themes: list[str]) -> DataFrame:

@@ -10,11 +10,11 @@ from lexloom.operators import datasets, graph, temporal
 from lexloom.plans.registry import query, table
 
 CUTOFF, TODAY = "1998-07-20", "2026-01-01"
-RANGES = "SELECT o_custkey AS id, min(o_orderdate)::DATE AS earliest, max(o_orderdate)::DATE AS latest FROM orders WHERE o_custkey % 7 <> 0 AND o_orderkey % 4 = 0 GROUP BY ALL"
+RANGES = "SELECT o_custkey AS id, min(o_orderdate)::DATE AS earliest, max(o_orderdate)::DATE AS latest FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL"
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").where("o_custkey % 7 <> 0 AND o_orderkey % 4 = 0").select(F.col("o_custkey").alias("entity"), F.col("o_orderdate").cast("date").alias("date"))
+    return table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("entity"), F.col("o_orderdate").cast("date").alias("date"))
 
 
 def ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,11 +81,11 @@ def post_cutoff_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH a AS (SELECT c_custkey AS id, e, l FROM customer LEFT JOIN (SELECT o_custkey, min(o_orderdate)::DATE AS e, max(o_orderdate)::DATE AS l
-FROM orders WHERE o_orderkey % 3 = 0 AND o_custkey % 4 <> 0 GROUP BY ALL) ON c_custkey = o_custkey), f AS ({RANGES})
+FROM orders WHERE o_orderstatus = 'P' GROUP BY ALL) ON c_custkey = o_custkey), f AS ({RANGES})
 SELECT a.id, least(e, earliest) AS earliest, greatest(l, latest) AS latest, CASE WHEN f.id IS NULL THEN NULL WHEN e IS NULL THEN 'new'
 WHEN least(e, earliest) = e AND greatest(l, latest) = l THEN 'unchanged' ELSE 'updated' END AS status FROM a LEFT JOIN f ON a.id = f.id""")
 def date_merge_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0 AND o_custkey % 4 <> 0").groupBy(F.col("o_custkey").alias("id"))
+    old = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").groupBy(F.col("o_custkey").alias("id"))
     old = old.agg(F.min("o_orderdate").cast("date").alias("earliest"), F.max("o_orderdate").cast("date").alias("latest"))
     every = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")).join(old, "id", "left")
     return temporal.merge_dates(every, ranges(spark, sf_dir))
@@ -160,7 +160,7 @@ def month_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", found["month"].alias("month"), found["day"].alias("day"), found["date"].alias("date"))
 
 
-@query("""WITH t AS (SELECT doc_id, left(text, 60) || CASE doc_id % 6 WHEN 0 THEN ' in 1912 and 1957' WHEN 1 THEN ' of the 1920s' WHEN 2 THEN ' after World War II'
+@query("""WITH t AS (SELECT doc_id, text || CASE doc_id % 6 WHEN 0 THEN ' in 1912 and 1957' WHEN 1 THEN ' of the 1920s' WHEN 2 THEN ' after World War II'
 WHEN 3 THEN ' in 1985, the Cold War' WHEN 4 THEN ' before the Moon landing' ELSE '' END || ' end.' AS t FROM documents),
 y AS (SELECT doc_id, list_concat(list_concat(list_transform(regexp_extract_all(t, '\\b(1[0-9]{3}|20[0-2][0-9])\\b', 1), lambda x: x::INT),
 list_transform(regexp_extract_all(t, '(?i)\\b(?:the\\s+)?((?:18|19|20)[0-9]0)s\\b', 1), lambda x: x::INT)),
@@ -170,7 +170,7 @@ SELECT doc_id, list_max(years) AS latest, CASE WHEN list_max(years) IS NULL THEN
 def temporal_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     endings = [" in 1912 and 1957", " of the 1920s", " after World War II", " in 1985, the Cold War", " before the Moon landing", ""]
     ending = F.element_at(F.array(*[F.lit(e) for e in endings]), (F.col("doc_id") % 6 + 1).cast("int"))
-    text = F.concat(F.left("text", F.lit(60)), ending, F.lit(" end."))
+    text = F.concat(F.col("text"), ending, F.lit(" end."))
     return table(spark, sf_dir, "documents").select("doc_id", F.array_max(dates.marker_years(text)).alias("latest"), dates.marker_class(text).alias("marker_class"))
 
 

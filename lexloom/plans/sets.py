@@ -69,9 +69,9 @@ def keyed_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return datasets.appended(old, labels.unionByName(labels.where("doc_id % 5 = 0")).select("doc_id", F.lit("new").alias("lang")), "doc_id")
 
 
-@query("SELECT doc_id, v FROM (SELECT doc_id, 'old' AS v, 0 AS k FROM documents WHERE doc_id < 300 UNION ALL SELECT doc_id, 'q' || quality, 1 FROM labels) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY k DESC, v DESC) = 1")
+@query("SELECT doc_id, v FROM (SELECT doc_id, 'old' AS v, 0 AS k FROM documents UNION ALL SELECT doc_id, 'q' || quality, 1 FROM labels) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY k DESC, v DESC) = 1")
 def keyed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old = documents(spark, sf_dir).where("doc_id < 300").select("doc_id", F.lit("old").alias("v"))
+    old = documents(spark, sf_dir).select("doc_id", F.lit("old").alias("v"))
     new = table(spark, sf_dir, "labels").select("doc_id", F.concat(F.lit("q"), F.col("quality").cast("string")).alias("v"))
     return datasets.upserted(old, new, "doc_id", "v")
 

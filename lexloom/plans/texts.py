@@ -52,7 +52,7 @@ def overlap_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", F.inline(chunking.overlap_chunks(F.col("text"))))
 
 
-@query("""WITH t AS (SELECT doc_id, 'Lead ' || left(text, 70) || E'\\n## First part\\n' || substring(text, 71, 80) || E'\\n### Deep\\nshort\\n## Last\\n' || substring(text, 151, 200) AS t FROM documents),
+@query("""WITH t AS (SELECT doc_id, 'Lead ' || left(text, 70) || E'\\n## First part\\n' || substring(text, 71, 80) || E'\\n### Deep\\nshort\\n## Last\\n' || substring(text, 151) AS t FROM documents),
 f AS (SELECT doc_id, t, list_reduce(string_split(t, E'\\n'), lambda s, l: CASE WHEN regexp_matches(l, '^#{2,}\\s+(.+)$')
 THEN {'done': list_append(s.done, {'title': s.title, 'text': s.lines}), 'title': trim(regexp_extract(l, '^#{2,}\\s+(.+)$', 1)), 'lines': NULL::VARCHAR}
 ELSE {'done': s.done, 'title': s.title, 'lines': CASE WHEN s.lines IS NULL THEN l ELSE s.lines || E'\\n' || l END} END,
@@ -62,7 +62,7 @@ b AS (SELECT doc_id, CASE WHEN len(xs) > 0 THEN xs ELSE [{'title': 'Article', 't
 SELECT doc_id, (unnest(range(len(xs))))::INT AS section_order, unnest(xs).title AS title, unnest(xs).text AS text FROM b""")
 def sections_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.concat(
-        F.lit("Lead "), F.left("text", F.lit(70)), F.lit("\n## First part\n"), F.substring("text", 71, 80), F.lit("\n### Deep\nshort\n## Last\n"), F.substring("text", 151, 200)
+        F.lit("Lead "), F.left("text", F.lit(70)), F.lit("\n## First part\n"), F.substring("text", 71, 80), F.lit("\n### Deep\nshort\n## Last\n"), F.substring("text", 151, 1 << 30)
     )
     found = documents(spark, sf_dir).select("doc_id", F.posexplode(chunking.sections(t)).alias("section_order", "s"))
     return found.select("doc_id", "section_order", "s.title", "s.text")
@@ -112,7 +112,7 @@ def theme_by_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, len(regexp_extract_all(lower(text), '(?:^|[^\\p{L}\\p{N}_])(?:queen|the)(?:$|[^\\p{L}\\p{N}_])'))::INT AS n FROM (SELECT doc_id, regexp_replace(text, '\\s+', '  ', 'g') AS text FROM documents)")
 def keyword_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).select("doc_id", F.regexp_count(F.lower(F.regexp_replace("text", r"\s+", "  ")), F.lit(r"(?<![\p{L}\p{N}_])(?:queen|the)(?![\p{L}\p{N}_])")).alias("n"))
+    return documents(spark, sf_dir).select("doc_id", keywords.occurrences(F.regexp_replace("text", r"\s+", "  "), ["queen", "the"]).alias("n"))
 
 
 @query(f"""WITH s AS (SELECT doc_id, lang, left(text, 5000) AS s FROM documents) SELECT doc_id, lang, coalesce(len(regexp_extract_all(s, '\\p{{L}}')) > 0
@@ -140,41 +140,42 @@ def token_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("group_id", F.explode(F.arrays_zip(F.col("xs.doc_id").alias("doc_id"), batches.alias("batch"))).alias("x")).select("group_id", F.col("x.doc_id").alias("doc_id"), F.col("x.batch").alias("batch"))
 
 
-@query("""SELECT doc_id, trim(CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN E'\\n' ELSE E'\\n' END || left(text, 300) || CASE doc_id % 3 WHEN 0 THEN '' ELSE E'\\n' END, E' ') AS body FROM documents""")
+@query("""SELECT doc_id, trim(CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN E'\\n' ELSE E'\\n' END || text || CASE doc_id % 3 WHEN 0 THEN '' ELSE E'\\n' END, E' ') AS body FROM documents""")
 def boilerplate_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, source = F.col("doc_id"), F.col("source")
     head = F.when(k % 4 == 0, F.lit("")).when(k % 4 == 1, F.concat(F.lit("Produced by hand\n*** START OF THE PROJECT GUTENBERG EBOOK "), source, F.lit(" ***\n"))).otherwise(F.lit("x\nStart of this Project Gutenberg EBook\n"))
     tail = F.when(k % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("\n*** END OF THIS PROJECT GUTENBERG EBOOK "), source, F.lit(" ***\nlicense")))
-    return documents(spark, sf_dir).select("doc_id", tx.book_body(F.concat(head, F.left("text", F.lit(300)), tail)).alias("body"))
+    return documents(spark, sf_dir).select("doc_id", tx.book_body(F.concat(head, F.col("text"), tail)).alias("body"))
 
 
-@query("""WITH a AS (SELECT doc_id, regexp_replace(left(text, 80) || ' * * * * ' || source || '== ' || lang || ' head == body ===Sub=== more see http://example.org/a/b?c=1). Next ( , ) a ;; b ,, c  |x| 20px|y (  ) z .; end Category:One Category: Two', '(\\*\\s*){3,}', ' ', 'g') AS t FROM documents),
+@query("""WITH a AS (SELECT doc_id, regexp_replace(text || ' * * * * ' || source || '== ' || lang || ' head == body ===Sub=== more see http://example.org/a/b?c=1). Next ( , ) a ;; b ,, c  |x| 20px|y (  ) z .; end Category:One Category: Two', '(\\*\\s*){3,}', ' ', 'g') AS t FROM documents),
 b AS (SELECT doc_id, regexp_replace(regexp_replace(t, '===\\s*([^=]+?)\\s*===', ' ### \\1 ', 'g'), '==\\s*([^=]+?)\\s*==', ' ## \\1 ', 'g') AS t FROM a),
 c AS (SELECT doc_id, regexp_replace(t, '(?i)category:\\s*([^:]*?)\\s*category:\\s*(.*)$', ' Categories: \\1, \\2 ') AS t FROM b),
 d AS (SELECT doc_id, regexp_replace(t, '(?i)(https?://[^\\s<>\\[\\]"'']*[^\\s<>\\[\\]"''.,;:!?)])[.,;:!?)]*', ' [link](\\1) ', 'g') AS t FROM c) SELECT doc_id, t AS text FROM d""")
 def markup_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rest = " head == body ===Sub=== more see http://example.org/a/b?c=1). Next ( , ) a ;; b ,, c  |x| 20px|y (  ) z .; end Category:One Category: Two"
-    t = F.concat(F.left("text", F.lit(80)), F.lit(" * * * * "), F.col("source"), F.lit("== "), F.col("lang"), F.lit(rest))
+    t = F.concat(F.col("text"), F.lit(" * * * * "), F.col("source"), F.lit("== "), F.col("lang"), F.lit(rest))
     cleaned = tx.linked_urls(tx.categories(tx.markdown_headings(tx.without_stars(t))))
     return documents(spark, sf_dir).select("doc_id", cleaned.alias("text"))
 
 
 def _sql_substitutions(expr: str) -> str:
     for pattern, by in tx.SUBSTITUTIONS:
-        pattern = pattern.replace("(?<!:)//", "//")
+        if pattern == "(?<!:)//":
+            pattern, by = "([^:]|^)//", f"$1{by}"
         expr = f"regexp_replace({expr}, '{pattern}', '{by.replace('$1', chr(92) + '1')}', 'g')".replace("\n", "' || chr(10) || '")
     return expr
 
 
-@query(f"SELECT doc_id, {_sql_substitutions("left(text, 200) || ' thumb|x|a class=b|c left|d 20px|e || f (  ) g // h ** i.* j , , k ; ; l .; m ; . n   o . p ,q ( , ) r'")} AS text FROM documents WHERE NOT contains(left(text, 200), '//')")
+@query(f"SELECT doc_id, {_sql_substitutions("text || ' thumb|x|a class=b|c left|d 20px|e || f (  ) g // h ** i.* j , , k ; ; l .; m ; . n   o . p ,q ( , ) r'")} AS text FROM documents")
 def substitutions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.concat(F.left("text", F.lit(200)), F.lit(" thumb|x|a class=b|c left|d 20px|e || f (  ) g // h ** i.* j , , k ; ; l .; m ; . n   o . p ,q ( , ) r"))
-    return documents(spark, sf_dir).where(~F.contains(F.left("text", F.lit(200)), F.lit("//"))).select("doc_id", tx.substituted(t).alias("text"))
+    t = F.concat(F.col("text"), F.lit(" thumb|x|a class=b|c left|d 20px|e || f (  ) g // h ** i.* j , , k ; ; l .; m ; . n   o . p ,q ( , ) r"))
+    return documents(spark, sf_dir).select("doc_id", tx.substituted(t).alias("text"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(regexp_replace(left(text, 120) || ' [12] a[3]  b', '\\s+', ' ', 'g'), '\\[\\d+\\]', '', 'g')) AS text FROM documents")
+@query("SELECT doc_id, trim(regexp_replace(regexp_replace(text || ' [12] a[3]  b', '\\s+', ' ', 'g'), '\\[\\d+\\]', '', 'g')) AS text FROM documents")
 def list_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).select("doc_id", tx.list_text(F.concat(F.left("text", F.lit(120)), F.lit(" [12] a[3]  b"))).alias("text"))
+    return documents(spark, sf_dir).select("doc_id", tx.list_text(F.concat(F.col("text"), F.lit(" [12] a[3]  b"))).alias("text"))
 
 
 @query("""SELECT page_id, len(regexp_extract_all(html, '(?i)<li[ >]')) AS items, url FROM pages""")
@@ -321,10 +322,10 @@ def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", raw.cast("double").alias("raw"), found["rating"].alias("rating"), found["reasoning"].alias("reasoning"))
 
 
-@query(f"""SELECT conv_id, turn, question AS q, 'It is number ' || turn AS a FROM ({PAIRS}) WHERE length(regexp_replace(question, '^\\s+|\\s+$', '', 'g')) > 10 AND conv_id % 3 > 0 AND regexp_matches(question, '^[\\p{{L}} .,''!?-]*$')""")
+@query(f"""SELECT conv_id, turn, question AS q, 'It is number ' || turn AS a FROM ({PAIRS}) WHERE length(regexp_replace(question, '^\\s+|\\s+$', '', 'g')) > 10 AND conv_id % 3 > 0""")
 def llm_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.col("question")
-    body = F.concat(F.lit('[{"question": "'), q, F.lit('", "answer": "It is number '), F.col("turn").cast("string"), F.lit('"}, {"question": "short", "answer": "x"}, {"answer": "no question here"}]'))
+    one = F.to_json(F.struct(q.alias("question"), F.concat(F.lit("It is number "), F.col("turn").cast("string")).alias("answer")))
+    body = F.concat(F.lit("["), one, F.lit(', {"question": "short", "answer": "x"}, {"answer": "no question here"}]'))
     response = F.when(F.col("conv_id") % 3 == 0, F.concat(F.left(body, F.lit(20)))).otherwise(F.concat(F.lit("Here you are: "), body, F.lit(" Bye")))
-    rows = pairs(spark, sf_dir).where(q.rlike(r"^[\p{L} .,'!?-]*$"))
-    return rows.select("conv_id", "turn", F.inline(qa.json_pairs(response))).select("conv_id", "turn", F.col("question").alias("q"), F.col("answer").alias("a"))
+    return pairs(spark, sf_dir).select("conv_id", "turn", F.inline(qa.json_pairs(response))).select("conv_id", "turn", F.col("question").alias("q"), F.col("answer").alias("a"))

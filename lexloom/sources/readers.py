@@ -44,8 +44,9 @@ def bad_json_lines(spark: SparkSession, path: str | list[str], schema: str) -> D
 
 
 def first_lines(spark: SparkSession, path: str, schema: str, most: int, text: str = "text", least: int = 100) -> DataFrame:
-    """JSON lines with texts of ``least`` characters among the first ``most`` lines, in file order."""
-    raw = spark.read.text(path).limit(most)
+    """JSON lines with texts of ``least`` characters among the first ``most`` lines: files by name, lines as they stand in them."""
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("place"))
+    raw = raw.orderBy("file", "start", "place").limit(most)
     parsed = raw.select(F.from_json("value", f"{schema}, {CORRUPT} string", {"columnNameOfCorruptRecord": CORRUPT}).alias("r")).select("r.*")
     return parsed.where(F.col(CORRUPT).isNull() & (F.length(text) >= least)).drop(CORRUPT)
 
@@ -61,10 +62,13 @@ def kept_turtle(df: DataFrame, line: Column) -> DataFrame:
 
 def turtle_statements(spark: SparkSession, path: str) -> DataFrame:
     """(statement, ordinal): one statement a row, whatever lines it is written on, so that no state is carried from line to line.
-    Files stay splittable. The ordinal follows the order within the input."""
-    rows = spark.read.option("lineSep", " .\n").text(path)
+    A statement ends with a dot at a line's end, whatever stands before the dot; files stay splittable. The ordinal follows the order within the input."""
+    rows = spark.read.option("lineSep", ".\n").text(path)
+    # a dot and white space at a line's end, and line ends of two characters
+    rows = rows.select(F.explode(F.split("value", r"\.[ \t]*\r?\n")).alias("value"))
     whole = F.regexp_replace("value", r"(?m)^\s*(#|@prefix|@base).*$", "")
-    out = rows.select(F.trim(F.regexp_replace(whole, r"\s+", " ")).alias("statement"), F.monotonically_increasing_id().alias("ordinal"))
+    whole = F.regexp_replace(F.regexp_replace(whole, r"\s+", " "), r"[ .]+$", "")
+    out = rows.select(F.trim(whole).alias("statement"), F.monotonically_increasing_id().alias("ordinal"))
     return out.where("statement <> ''")
 
 
@@ -86,16 +90,19 @@ def normalized_entities(spark: SparkSession, path: str) -> DataFrame:
 def entity_json(spark: SparkSession, path: str) -> DataFrame:
     """A JSON array of entities whose keys are in lower or title case."""
     keys = [c.split()[0] for c in schemas.DATED_ENTITY.split(", ")]
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     items = F.explode(F.from_json(F.col("value"), "array<map<string,string>>"))
     rows = raw.select(items.alias("m"))
     return rows.select(*[F.coalesce(F.try_element_at("m", F.lit(k)), F.try_element_at("m", F.lit(k.lower()))).alias(k) for k in keys])
 
 
 def year_files(spark: SparkSession, path: str, first: int | None = None, last: int | None = None) -> DataFrame:
-    """Year-topic files, the year from the file's name; files outside the years aren't parsed."""
+    """Year-topic files, the year from the file's name; where both years are given, files outside them aren't listed for the scan."""
     name = F.regexp_extract(F.col("_metadata.file_name"), r"(\d{4})", 1).cast("int")
-    rows = spark.read.schema(schemas.YEAR_TOPICS).option("multiLine", True).json(path).withColumn("file_year", name)
+    source = spark.read.schema(schemas.YEAR_TOPICS).option("multiLine", True)
+    if first is not None and last is not None:
+        source = source.option("pathGlobFilter", "*{" + ",".join(f"{y:04d}" for y in range(first, max(first, last) + 1)) + "}*")
+    rows = source.json(path).withColumn("file_year", name)
     if first is not None:
         rows = rows.where(F.col("file_year") >= first)
     if last is not None:

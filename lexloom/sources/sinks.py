@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +30,18 @@ def entity_csv(df: DataFrame, path: str, undated: bool = False) -> None:
 
 
 def entity_json(df: DataFrame, path: str, undated: bool = False) -> None:
-    entity_rows(df, undated).orderBy("Entity").write.json(path)
+    """JSON arrays: each file of the folder is one, in the order of the entities."""
+
+    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = True
+        for batch in batches:
+            rows = batch.column("json").to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([("[" if first and not i else ",") + row for i, row in enumerate(rows)], pa.string())], ["value"])
+            first = first and not rows
+        yield pa.RecordBatch.from_arrays([pa.array(["[]" if first else "]"])], ["value"])
+
+    rows = entity_rows(df, undated).orderBy("Entity")
+    rows.select(F.to_json(F.struct("*")).alias("json")).mapInArrow(arrays, "value string").write.text(path)
 
 
 def per_bucket(df: DataFrame, path: str, column: str = "total") -> None:

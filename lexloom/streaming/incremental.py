@@ -38,10 +38,10 @@ def read_ranges(spark: SparkSession, out: str) -> DataFrame:
 
 
 def growing_dataset(stream: DataFrame, checkpoint: str, out: str, key: str) -> StreamingQuery:
-    """Rows whose key no earlier batch had, first come first kept; the folder is the ledger of used keys."""
+    """Rows whose key no earlier batch had, of one batch's the least by all columns; the folder is the ledger of used keys."""
 
     def batch(df: DataFrame, n: int) -> None:
-        new = df.dropDuplicates([key])
+        new = df.groupBy(key).agg(F.min(F.struct(*df.columns)).alias("row")).select("row.*")
         if n:
             used = df.sparkSession.read.parquet(out).where(F.col("batch") < n)
             new = new.join(used.select(key), key, "left_anti")
