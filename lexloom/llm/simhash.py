@@ -46,7 +46,9 @@ STEP, HALF, LONG, SHORT = 1.25, 0.55, 24, 40
 #: Bits of the sketches that spare most comparisons of shingles, and how many may differ: the mean at a similarity of 0.8 is 25.6 with a deviation of 4.8.
 SKETCH, SKETCH_RADIUS = 256, 52
 #: Variants that are compared at a time, and rows whose variants are expanded together if their prefixes allow it.
-CHUNK, ROWS = 1 << 19, 1 << 15
+CHUNK, ROWS = 1 << 19, 1 << 14
+#: Text bytes whose words are worked on at a time, and fingerprints that are sent to their prefixes at a time.
+TEXT_BYTES, SENT = 2 << 20, 1 << 12
 
 
 def shingle_fingerprint(words: list[bytes], size: int, seed: int) -> int:
@@ -183,7 +185,7 @@ def links(fps: DataFrame, bits: int | None = None, radius: int = 3, width: int =
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in (whole.slice(i, ROWS) for i in range(0, whole.num_rows, ROWS)):
+            for batch in (whole.slice(i, SENT) for i in range(0, whole.num_rows, SENT)):
                 fp = batch.column("fp").to_numpy().view(np.uint64)
                 who, prefix = prefixes(fp, bits, width)
                 yield pa.RecordBatch.from_arrays([pa.array(prefix.astype(np.int32)), pa.array(fp[who].view(np.int64))], ["prefix", "fp"])
@@ -281,7 +283,7 @@ def word_fingerprints(docs: DataFrame, seeds: tuple[int, ...]) -> DataFrame:
         return who, np.packbits(found, axis=1, bitorder="little").view(np.int64).ravel()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in by_bytes(whole, "text")):
+        for batch in (part for whole in batches for part in by_bytes(whole, "text", TEXT_BYTES)):
             n = batch.num_rows
             index, bounds, words = ascii_words(batch.column("text"))
             text = np.repeat(np.arange(n), np.diff(bounds))
@@ -299,7 +301,7 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
     """doc and its distinct shingles as sorted 32-bit hashes; a shorter text is one shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in by_bytes(whole, "text")):
+        for batch in (part for whole in batches for part in by_bytes(whole, "text", TEXT_BYTES)):
             index, bounds, words = ascii_words(batch.column("text"))
             values, out = hashes(words)[index], []
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
