@@ -102,7 +102,7 @@ def _fresh(path: str, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Known:
     """Words whose ids a worker has found, so that a batch encodes new ones only. Bounded: it starts anew when full."""
 
-    MOST = 1_000_000
+    MOST = 1_500_000
 
     def __init__(self) -> None:
         self.words, self.flat = pa.array([], pa.string()), np.zeros(0, np.uint32)
