@@ -1,13 +1,13 @@
 """Language-model scores by a probabilistic suffix tree over words.
 
 Symbols are words and one end per text. The root's distribution is add-one over all training symbols. A context, one or two
-preceding words, is a candidate if it makes up at least ``share`` of the training symbols (so there are 1 / share of each length at
-most) and is retained if a likelihood-ratio test finds its next symbols to diverge from those of its suffix. A retained
+preceding words, is a candidate if it makes up at least ``share`` of the N training symbols (so there are 1 / share of each length at
+most); unless given, the share is 1 / sqrt(N), so that contexts grow with the corpus as sqrt(N) does, and ``SHARE`` at most. A candidate is retained if a likelihood-ratio test finds its next symbols to diverge from those of its suffix. A retained
 context's distribution is smoothed with its suffix's by the number of different symbols seen after it (Witten and Bell):
 p(x | s) = (c(s, x) + d(s) p(x | suffix of s)) / (c(s) + d(s)). A symbol is scored in the state of the longest retained suffix of
 what precedes it in its text.
 
-Counts cover the whole corpus and are exact. They are never held in one place: texts are cut into blocks; each block sends one row for
+Counts cover the whole corpus. Those of words are exact; words that follow a context are told apart by 64-bit hashes. They are never held in one place, but for the candidates: texts are cut into blocks; each block sends one row for
 each of its distinct words, or pairs of context and next word, to be summed, and gets back the sums that differ from its own. The
 blocks are a table bucketed by block, so that they stay where they are while the counts travel.
 
@@ -37,9 +37,11 @@ from lexloom.llm.words import ascii_words, hashes
 #: Text bytes of a block, and bytes of a row that holds a part of one.
 BLOCK_BYTES, CHUNK = 3 << 20, 1 << 18
 SHARE, DEVIATIONS, LEAST_NATS = 2e-4, 4.0, 0.01
+#: Candidates or contexts up to this many rows are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 #: The hash that stands for a text's end, and the bits of a candidate word's code. A pair's code is its place among
 #: the candidate pairs, after all words' codes.
-END, CODE_BITS = 0, 20
+END, CODE_BITS = 0, 31
 
 
 def pack(table: pa.Table) -> bytes:
@@ -141,7 +143,7 @@ class Pairs:
     def __init__(self, block: Block, root: Root) -> None:
         self.symbol, self.text, last, before = candidates(block, root.frequent)
         self.size = len(block.words) + 1
-        both = np.full(len(last), -1, np.int32)
+        both = np.full(len(last), -1, np.int64)
         here = np.flatnonzero(before >= 0)
         if len(here) and len(root.twos):
             codes = before[here].astype(np.int64) << CODE_BITS | last[here]
@@ -248,21 +250,30 @@ def pair_sums(table: DataFrame, sums: DataFrame, root: Root) -> DataFrame:
     return write_scratch(found, "pair-sums")
 
 
+def least_share(total: int) -> float:
+    """The share of all symbols that makes a candidate in a corpus of ``total`` symbols."""
+    return min(SHARE, max(total, 1) ** -0.5)
+
+
+def sized(rows: DataFrame, most: float) -> DataFrame:
+    """``rows``, of which there are ``most`` at the utmost, to be broadcast if these are few."""
+    return F.broadcast(rows) if most <= BROADCAST_ROWS else rows
+
+
 def retained(sums: DataFrame, root: Root, share: float, deviations: float = DEVIATIONS, least_nats: float = LEAST_NATS) -> list[tuple[int, int, int]]:
     """(context, symbols after it, different ones) of all contexts of the tree: those whose next symbols diverge from their
     suffix's, and the suffixes of these. No more than 2 / share."""
     leads = sums.where("lead AND total > 0").select("context", "x", F.col("total").alias("c"), "log_p")
     # the number of symbols after a context, with its different ones
     sizes = leads.groupBy("context").agg(F.sum("c").alias("size"), F.count(F.lit(1)).alias("kinds"))
-    sizes = F.broadcast(sizes.limit(int(2 / share) + 2))  # that many contexts can't be exceeded
-    rows = leads.join(sizes, "context")
+    rows = leads.join(sized(sizes, 2 / share), "context")
     log_q = F.log((F.col("c") + F.col("kinds") * F.exp("log_p")) / (F.col("size") + F.col("kinds")))
     ones = rows.where(F.col("context") < 1 << CODE_BITS)
     tested = ones.select("context", "c", "size", "kinds", F.col("log_p").alias("suffix_log_p"))
     if len(root.twos):
         ends = sums.sparkSession.createDataFrame([((1 << CODE_BITS) + i, int(c) & (1 << CODE_BITS) - 1) for i, c in enumerate(root.twos)], "context long, last long")
         suffix = ones.select(F.col("context").alias("last"), "x", log_q.alias("suffix_log_p"))
-        twos = rows.join(F.broadcast(ends), "context").join(suffix, ["last", "x"])
+        twos = rows.join(sized(ends, len(root.twos)), "context").join(suffix, ["last", "x"])
         tested = tested.unionByName(twos.select("context", "c", "size", "kinds", "suffix_log_p"))
     gain = F.col("c") * (F.log(F.col("c") / F.col("size")) - F.col("suffix_log_p"))
     scored = tested.groupBy("context").agg(F.sum(gain).alias("gain"), F.first("size").alias("size"), F.first("kinds").alias("kinds")).collect()
@@ -273,13 +284,16 @@ def retained(sums: DataFrame, root: Root, share: float, deviations: float = DEVI
     return sorted((c, *every[c]) for c in kept if c in every)
 
 
-def score(docs: DataFrame, train: Column, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, train: Column, share: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Learn from the rows where ``train`` holds and score all: doc_id, train, n_tokens, n_known, train_tokens, base_score,
     score (log10 probabilities of the text at the root and in the tree), n_in_context (symbols scored in a retained context)."""
     spark = docs.sparkSession
     table = blocks(docs, id_col, text_col, train)
     known = table.agg(F.sum("tokens"), F.sum("texts")).first()
     total, ends = known[0] or 0, known[1] or 0
+    share = least_share(total) if share is None else share
+    if not 2.0**-CODE_BITS < share <= 1:
+        raise ValueError(f"share {share} gives more candidates than their codes can tell apart")
     sums = word_sums(table, max(1.0, share * total))
     distinct = sums.where("lead AND total > 0").count() + (ends > 0)
     # words with share of all symbols at least: 1 / share at most
@@ -322,7 +336,7 @@ def score(docs: DataFrame, train: Column, share: float = SHARE, id_col: str = "d
 
     words = sums.where(~F.col("same")).select("block", "at", "total", F.lit(None).cast("long").alias("context"), F.lit(None).cast("long").alias("x"))
     kept = spark.createDataFrame([(int(c),) for c, _, _ in tree], "context long")
-    came = pairs.where(~F.col("same")).join(F.broadcast(kept), "context", "left_semi").select("block", F.lit(None).cast("int").alias("at"), "total", "context", "x")
+    came = pairs.where(~F.col("same")).join(sized(kept, len(tree)), "context", "left_semi").select("block", F.lit(None).cast("int").alias("at"), "total", "context", "x")
     back = words.unionByName(came)
     schema = "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_in_context long"
     return table.select("block", "chunk", "data").groupBy("block").cogroup(back.groupBy("block")).applyInArrow(run, schema)

@@ -116,6 +116,21 @@ def test_contexts_of_one_in_four_thousand_symbols(make):
     assert 2e-4 < 10 / found.t < 3e-4 and found.n >= 10
 
 
+def test_contexts_grow_with_the_corpus(make):
+    assert suffix_tree.least_share(10**6) == suffix_tree.SHARE  # never fewer than by the fixed share
+    assert suffix_tree.least_share(10**10) == pytest.approx(1e-5)
+    # more rows than may be broadcast are joined by a shuffle, with equal scores
+    docs = make([(i, "a b x c b y " * 20) for i in range(12)])
+    small = suffix_tree.score(docs, F.lit(True), share=1e-2).collect()
+    before, suffix_tree.BROADCAST_ROWS = suffix_tree.BROADCAST_ROWS, 0
+    try:
+        assert sorted(suffix_tree.score(docs, F.lit(True), share=1e-2).collect()) == sorted(small)
+    finally:
+        suffix_tree.BROADCAST_ROWS = before
+    with pytest.raises(ValueError, match="candidates"):
+        suffix_tree.score(docs, F.lit(True), share=1e-10)
+
+
 def test_forward_backward():
     rng = np.random.default_rng(0)
     k = 3
