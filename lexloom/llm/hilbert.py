@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from lexloom.llm.common import write_scratch
 
 
-#: Different values of a string column whose counts reach the driver.
+#: Different values of a string column that are ranked in one task, about.
 VALUES = 10_000
 
 
@@ -57,20 +57,22 @@ def hilbert_index(point: tuple[int, ...], bits: int) -> int:
 
 
 def text_bounds(df: DataFrame, column: str, parts: int) -> list[str]:
-    """At most ``parts`` - 1 values of a string column that part its rows about equally, in the order of the values' whole bytes. They follow from counts of
-    its different values: all of them, or of more than ``VALUES`` the frequent ones and, for the rest, some that a hash picks by their counts."""
+    """At most ``parts`` - 1 values of a string column that part its rows about equally, in the order of the values' whole bytes. They follow from the counts of all
+    its different values, however many: these are dealt out by ranges and summed up within each, and only the sums of the ranges and the bounds reach the driver."""
     counts = write_scratch(df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n")), "values")
     different, total = counts.agg(F.count(F.lit(1)), F.sum("n")).first()
-    share = F.col("n") * F.lit(VALUES / (total or 1))
-    if different > VALUES:  # each counts for one part in VALUES at least, so no more than twice VALUES are expected
-        counts = counts.where(F.pmod(F.xxhash64("value"), F.lit(1 << 40)) / F.lit(float(1 << 40)) < share).withColumn("n", F.greatest("n", F.lit(total // VALUES)))
-    rows = sorted((r["value"].encode(), r["n"], r["value"]) for r in counts.collect())
-    each, upto, bounds = sum(n for _, n, _ in rows) / parts, 0, []
-    for _, n, value in rows[:-1]:
-        if int(upto / each) != int((upto + n) / each):
-            bounds.append(value)
-        upto += n
-    return bounds
+    ranged = write_scratch(counts.repartitionByRange(different // VALUES + 1, "value").withColumn("range", F.spark_partition_id()), "value-ranges")
+    upto, starts = 0, []
+    for r in ranged.groupBy("range").agg(F.sum("n").alias("n")).orderBy("range").collect():
+        starts.append((r["range"], upto))
+        upto += r["n"]
+    before = df.sparkSession.createDataFrame(starts, "range int, start long")
+    running = F.sum("n").over(Window.partitionBy("range").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    ends = ranged.withColumn("end", running).join(F.broadcast(before), "range").withColumn("end", F.col("start") + F.col("end"))
+    # a value is a bound if one of the cuts lies within its rows; the last value has none above it
+    share = lambda at: F.expr(f"({at}) * {parts}L div {total or 1}L")
+    bounds = ends.where((F.col("end") < F.lit(total or 0)) & (share("end - n") != share("end")))
+    return sorted((r["value"] for r in bounds.select("value").collect()), key=str.encode)
 
 
 def text_code(column: Column, bounds: list[str]) -> Column:

@@ -61,6 +61,19 @@ def test_text_dimension_orders_by_whole_values(spark, monkeypatch):
     assert hilbert.text_bounds(docs.limit(0), "source", 16) == []
 
 
+def test_text_bounds_are_those_of_all_values(spark, monkeypatch):
+    """The same bounds, those of a plain walk over all values, however many values there are beside VALUES."""
+    rng = np.random.default_rng(3)
+    values = [f"{'é' if x % 3 else 'z'}{x * x}" for x in rng.zipf(1.3, 6000) % 3000]
+    docs = spark.createDataFrame([(i, v) for i, v in enumerate([*values, None])], "doc_id long, source string")
+    ordered = sorted(values, key=str.encode)
+    upto = {v: i + 1 for i, v in enumerate(ordered)}
+    expected = [v for v in sorted(set(values), key=str.encode)[:-1] if (upto[v] - values.count(v)) * 16 // len(values) != upto[v] * 16 // len(values)]
+    for most in (10_000, 100, 1):
+        monkeypatch.setattr(hilbert, "VALUES", most)
+        assert hilbert.text_bounds(docs, "source", 16) == expected
+
+
 def test_one_cell_is_ranked_in_parts(spark):
     same = spark.range(1000).selectExpr("id AS doc_id", "1 AS size")
     check_shards(hilbert.hilbert_shards(same, ["size"], 7, splits=16).collect(), 1000, 7)
