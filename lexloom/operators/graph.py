@@ -85,20 +85,22 @@ def containing(queries: DataFrame, keyed: DataFrame) -> DataFrame:
     held = held.join(wanted.select("__gram").distinct(), "__gram", "left_semi")
     counts = held.groupBy("__gram").agg(F.count(F.lit(1)).alias("__n"))
     rarest = wanted.join(counts, "__gram", "left").groupBy("query", "__q").agg(F.min_by("__gram", F.struct(F.coalesce("__n", F.lit(0)), "__gram")).alias("__gram"))
-    every = queries.where("query = ''").crossJoin(keyed).select("query", "id", "title")  # the empty query, one at most, is in all titles
-    return rarest.join(held, "__gram").where(F.contains("__key", F.col("__q"))).select("query", "id", "title").unionByName(every)
+    every = keyed.crossJoin(F.broadcast(queries.where("query = ''"))).select("query", "id", "title")  # the empty query, one at most, is in all titles
+    return rarest.hint("merge").join(held, "__gram").where(F.contains("__key", F.col("__q"))).select("query", "id", "title").unionByName(every)
 
 
 def title_lookup(queries: DataFrame, articles: DataFrame, redirects: DataFrame, query: str = "query") -> DataFrame:
     """(query, id, title, how): by the title in any case, else the shortest title that contains the query, else through a redirect. Ties
-    by id. Articles are matched by an equi-join first; the containing titles are sought for the rest only."""
+    by id. Articles are matched by an equi-join first; the containing titles are sought for the rest only. Neither queries nor titles are broadcast: both may be as many as the
+    articles, and a broadcast that was planned from the size of files isn't taken back."""
     q = queries.select(F.col(query).alias("query")).where("query IS NOT NULL").distinct()
-    keyed = articles.select("id", "title", F.lower("title").alias("__key"))
-    exact = q.join(keyed, F.lower("query") == F.col("__key")).select("query", "id", "title", F.lit("exact").alias("how"), F.lit(1).alias("__rank"))
-    rest = q.join(exact.select("query").distinct(), "query", "left_anti")
+    # of the titles that are one but for case only the best can be an answer; so one row each, however many articles share it
+    keyed = articles.groupBy(F.lower("title").alias("__key")).agg(F.min(F.struct(F.length("title").alias("n"), "id", "title")).alias("__best")).select("__best.id", "__best.title", "__key")
+    exact = q.join(keyed.hint("merge"), F.lower("query") == F.col("__key")).select("query", "id", "title", F.lit("exact").alias("how"), F.lit(1).alias("__rank"))
+    rest = q.join(exact.select("query").distinct().hint("merge"), "query", "left_anti")
     within = containing(rest, keyed).select("query", "id", "title", F.lit("contains").alias("how"), F.lit(2).alias("__rank"))
     moved = redirects.select(F.lower("source_title").alias("__source"), F.lower("target_title").alias("__key"))
-    via = rest.join(moved, F.lower("query") == F.col("__source")).join(keyed, "__key").select("query", "id", "title", F.lit("redirect").alias("how"), F.lit(3).alias("__rank"))
+    via = rest.join(moved.hint("merge"), F.lower("query") == F.col("__source")).join(keyed.hint("merge"), "__key").select("query", "id", "title", F.lit("redirect").alias("how"), F.lit(3).alias("__rank"))
     every = exact.unionByName(within).unionByName(via)
     best = Window.partitionBy("query").orderBy("__rank", F.length("title"), "id")
     return every.withColumn("__rn", F.row_number().over(best)).where("__rn = 1").drop("__rn", "__rank")

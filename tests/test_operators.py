@@ -100,6 +100,24 @@ def test_append_and_upsert(spark):
     assert sorted((r.k, r.v) for r in datasets.upserted(old, new, "k", "v").collect()) == [(1, "a"), (2, "x"), (3, "d")]
 
 
+def test_title_lookup_keeps_titles_off_the_driver(spark, tmp_path):
+    """Of articles with one title the best is taken before any join, and no plan broadcasts titles or queries."""
+    articles = spark.createDataFrame([(i, "Blue Ring" if i % 2 else "blue ring") for i in range(40, 0, -1)] + [(50, "Old Plate"), (51, "")], "id long, title string")
+    redirects = spark.createDataFrame([("moved", "old plate"), ("moved", "blue ring")], "source_title string, target_title string")
+    asked = spark.createDataFrame([(x,) for x in ("BLUE ring", "lat", "MOVED", "ue r", "none", "", None)], "query string")
+    frames = []
+    for name, frame in (("asked", asked), ("articles", articles), ("redirects", redirects)):  # files, whose sizes Spark plans by
+        frame.write.parquet(str(tmp_path / name))
+        frames.append(spark.read.parquet(str(tmp_path / name)))
+    found = graph.title_lookup(*frames)
+    assert {(r.query, r.id, r.title, r.how) for r in found.collect()} == {
+        ("BLUE ring", 1, "Blue Ring", "exact"), ("lat", 50, "Old Plate", "contains"), ("MOVED", 1, "Blue Ring", "redirect"), ("ue r", 1, "Blue Ring", "contains"), ("", 51, "", "exact"),
+    }
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and "__key" in line]
+    assert joins and not [line for line in joins if "BroadcastHashJoin" in line]
+
+
 def test_ann_recall(spark, sf):
     e = spark.read.parquet(f"{sf}/embeddings.parquet")
     corpus, asked = e.select(F.col("vec_id").alias("doc"), "embedding"), e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
