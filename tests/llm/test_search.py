@@ -107,6 +107,30 @@ def test_a_passage_whose_pieces_lie_in_many_earlier_documents(make):
         assert [(r.doc_id, r.other_id, r.agreeing) for r in found if r.doc_id > 99] == [(101, 100, 80)]
 
 
+def test_forty_equal_words_whose_stretches_lie_in_earlier_documents(make):
+    """Two documents share forty words, of which lesser ones hold the first and the last 36: the least with any stretch of 33 never holds the whole."""
+    rng = np.random.default_rng(9)
+    rows, expected = [], set()
+    for n in range(0, 40, 4):
+        run = words(rng, 40)
+        rows += [(n + i, " ".join([*words(rng, 20 + n + i), *part, *words(rng, 30)])) for i, part in enumerate((run[:36], run[4:], run, run))]
+        expected.add((n + 3, n + 2))
+    found = passages.passages(make(rows)).collect()
+    assert {(r.doc_id, r.other_id) for r in found if r.agreeing >= 40} == expected
+
+
+def test_a_run_that_begins_within_another_passage(make):
+    """A document shares one passage with one document, and with another forty words, of which seven lie in that passage."""
+    rng = np.random.default_rng(10)
+    rows, expected = [], set()
+    for n in range(0, 24, 3):
+        one, two = words(rng, 60), words(rng, 33)
+        parts = (one, one[-7:] + two, one + two)
+        rows += [(n + i, " ".join([*words(rng, 20 + n + i), *part, *words(rng, 30)])) for i, part in enumerate(parts)]
+        expected |= {(n + 2, n), (n + 2, n + 1)}
+    assert {(r.doc_id, r.other_id) for r in passages.passages(make(rows)).collect()} == expected
+
+
 def test_passages_equal_all_pairs(spark):
     """Exactly the documents that share forty words in a row with a lesser one are found, but for fuzzy passages, and those agree."""
     sf = "/root/testdata/sf0.001"
