@@ -14,7 +14,7 @@ linked by that variant; if they differ in two bits, they meet one flip away.
 
 What is shuffled is a variant's leading bits: a fingerprint goes once to each value that its variants have there, with the
 flips that are left, and the partition expands the rest of the variant. So 137 or 17 rows (for 16 leading bits) stand for 2,081 or 65 variants.
-How many bits lead follows from the number of distinct fingerprints.
+How many bits lead follows from the number of distinct fingerprints; where more rows share them than are expanded together, the partition parts these by further bits itself.
 Each colliding pair is verified by its distance.
 
 Defined results: a null text counts as empty and has the fingerprint zero; documents with one or two words have one
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.llm.common import ROW, components, keyed, write_scratch
-from lexloom.llm.tokens import by_bytes
+from lexloom.llm.tokens import by_bytes, ragged
 from lexloom.llm.words import ascii_words, hashes, mix, rolling
 
 #: Seeds and bits of the fingerprints of words that find candidates for :func:`near_links`.
@@ -45,8 +45,10 @@ SEEDS, WORD_BITS = (1, 2, 3), 48
 STEP, HALF, LONG, SHORT = 1.25, 0.55, 24, 40
 #: Bits of the sketches that spare most comparisons of shingles, and how many may differ: the mean at a similarity of 0.8 is 25.6 with a deviation of 4.8.
 SKETCH, SKETCH_RADIUS = 256, 52
-#: Variants that are compared at a time, and rows whose variants are expanded together if their prefixes allow it.
-CHUNK, ROWS = 1 << 19, 1 << 14
+#: Variants or pairs that are compared at a time, rows whose variants are expanded together, and rows that are sent to one prefix.
+CHUNK, ROWS, SHARED = 1 << 19, 1 << 14, 1 << 20
+#: Documents, and shingles of documents, of a group that meet in one place; of larger groups each pair of blocks does.
+BLOCK, BLOCK_SHINGLES = 1 << 11, 1 << 20
 #: Text bytes whose words are worked on at a time, and fingerprints that are sent to their prefixes at a time.
 TEXT_BYTES, SENT = 2 << 20, 1 << 12
 
@@ -169,16 +171,27 @@ def runs(prefix: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
 
 
 def prefix_bits(n: int) -> int:
-    """Leading bits of a variant by which it is shuffled: so many that ``ROWS`` rows or fewer share them, for ``n`` fingerprints."""
+    """Leading bits of a variant by which it is shuffled: so many that ``SHARED`` rows or fewer have them in common, for ``n`` fingerprints."""
     bits = 8
-    while n * (2 + 2 * bits + bits * (bits - 1) // 2) / 2 > ROWS << bits and bits < 28:
+    while n * (2 + 2 * bits + bits * (bits - 1) // 2) / 2 > SHARED << bits and bits < 28:
         bits += 1
     return bits
 
 
+def narrowed(prefix: int, fp: np.ndarray, bits: int, width: int = 64) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(bits, prefix, fingerprints): where variants with these leading bits meet by more of them, so many that ``ROWS`` rows or fewer share them."""
+    if len(fp) <= ROWS or bits >= 28:
+        yield bits, prefix, fp
+        return
+    most = 2 - (ones(fp) & 1)
+    for longer in (2 * prefix, 2 * prefix + 1):
+        flipped = ones(np.uint64(longer) ^ (fp >> np.uint64(width - bits - 1)))
+        yield from narrowed(longer, fp[flipped <= most], bits + 1, width)
+
+
 def links(fps: DataFrame, bits: int | None = None, radius: int = 3, width: int = 64) -> DataFrame:
-    """Edges (a, b) from fingerprints (column fp, each once) to hubs within the radius; what they connect is what all such pairs connect, and any two
-    within the radius have an edge to one hub, or one of them is the other's."""
+    """Edges (a, b) between fingerprints (column fp, each once): what they connect is what all pairs within the radius connect. A task gives a fingerprint one edge, to the least that it
+    is connected with there, so a dense group gives no more rows for being dense."""
     if radius != 3:
         raise ValueError("the parity argument is made for a radius of three")
     bits = bits or prefix_bits(fps.count())
@@ -190,28 +203,47 @@ def links(fps: DataFrame, bits: int | None = None, radius: int = 3, width: int =
                 who, prefix = prefixes(fp, bits, width)
                 yield pa.RecordBatch.from_arrays([pa.array(prefix.astype(np.int32)), pa.array(fp[who].view(np.int64))], ["prefix", "fp"])
 
-    def met(prefix: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def met(prefix: np.ndarray, fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         # by fingerprint within a prefix: variants that meet anywhere then agree on their hub where they can
         fp = fp.view(np.uint64)
         order = np.lexsort((fp, prefix))
         prefix, fp = prefix[order].astype(np.uint64), fp[order]
-        for a, b in (x for i, j in runs(prefix, ROWS) for x in meet(prefix[i:j], fp[i:j], bits, width)):
-            keep = (a != b) & (ones(a ^ b) <= radius)
-            if keep.any():
-                pairs = np.unique(np.stack([a[keep], b[keep]], axis=1), axis=0).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        for i, j in runs(prefix, ROWS):
+            if prefix[i] == prefix[j - 1]:
+                found = (x for b, p, f in narrowed(int(prefix[i]), fp[i:j], bits, width) for x in meet(np.full(len(f), p, np.uint64), f, b, width))
+            else:
+                found = meet(prefix[i:j], fp[i:j], bits, width)
+            for a, b in found:
+                keep = (a != b) & (ones(a ^ b) <= radius)
+                if keep.any():
+                    yield joined(a[keep].view(np.int64), b[keep].view(np.int64))
+
+    def whole_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        rows = 0
+        for batch in (x for x in batches if x.num_rows):
+            held.append((batch.column("prefix").to_numpy(), batch.column("fp").to_numpy()))
+            rows += batch.num_rows
+            # rows come by prefix; the last one may go on in the next batch
+            if rows >= ROWS and held[0][0][0] != held[-1][0][-1]:
+                prefix, fp = (np.concatenate(x) for x in zip(*held, strict=True))
+                whole = int(np.searchsorted(prefix, prefix[-1]))
+                yield prefix[:whole], fp[:whole]
+                held, rows = [(prefix[whole:], fp[whole:])], len(prefix) - whole
+        if held:
+            prefix, fp = (np.concatenate(x) for x in zip(*held, strict=True))
+            yield prefix, fp
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_prefix, held_fp = np.zeros(0, np.int32), np.zeros(0, np.int64)
-        for batch in batches:
-            prefix = np.concatenate([held_prefix, batch.column("prefix").to_numpy()])
-            fp = np.concatenate([held_fp, batch.column("fp").to_numpy()])
-            # rows come by prefix; the last one may go on in the next batch
-            whole = int(np.searchsorted(prefix, prefix[-1])) if len(prefix) >= ROWS else 0
-            if whole:
-                yield from met(prefix[:whole], fp[:whole])
-            held_prefix, held_fp = prefix[whole:], fp[whole:]
-        yield from met(held_prefix, held_fp)
+        kept, waiting, n = np.zeros((2, 0), np.int64), [], 0
+        for edges in (x for part in whole_prefixes(batches) for x in met(*part)):
+            waiting.append(np.stack(edges))
+            n += len(edges[0])
+            if n > max(CHUNK, kept.shape[1]):
+                kept, waiting, n = np.stack(joined(*np.concatenate([kept, *waiting], axis=1))), [], 0
+        kept = np.stack(joined(*np.concatenate([kept, *waiting], axis=1)))
+        for at in range(0, kept.shape[1], CHUNK):
+            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + CHUNK]) for x in kept], ["a", "b"])
 
     rows = fps.select("fp").mapInArrow(emit, "prefix int, fp long")
     return rows.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(match, "a long, b long").distinct()
@@ -334,80 +366,122 @@ def sketches(sets: DataFrame) -> DataFrame:
     return sets.mapInArrow(run, "doc long, size long, s0 long, s1 long, s2 long, s3 long")
 
 
-def merged(roots: DataFrame | None, pairs: DataFrame) -> DataFrame:
-    """(node, root) after more links: the components of ``pairs`` upon those of ``roots``."""
-    if roots is None:
-        return write_scratch(components(pairs), "merged")
-    a, b = roots.toDF("a", "ra"), roots.toDF("b", "rb")
-    upper = pairs.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
-    upper = write_scratch(components(upper), "upper").toDF("root", "top")
-    known = roots.join(upper, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-    return write_scratch(known.unionByName(upper.join(roots, upper["root"] == roots["node"], "left_anti").select(F.col("root").alias("node"), F.col("top").alias("root"))), "merged")
-
-
-def alike(docs: DataFrame, stars: DataFrame, size: int, similarity: float) -> DataFrame:
-    """(node, root): components of the documents that have this Jaccard similarity of shingles at least, among those that have a hub in common (or are one's hub) in
-    ``stars`` (hub, doc).
-
-    First each document is held against its least hub, then against the others that it isn't connected with. A hub may be unlike documents that
-    are alike, so where the documents of a hub aren't all connected, those apart are held against one another: against sixteen of them, then 256, and so on up to
-    all, by a hash of their ids. In a dense group nothing is left after a few; pairs that differ in length or in their sketches can't be alike and aren't read."""
-    stars = write_scratch(stars.where("hub <> doc").distinct(), "stars")
-    used = stars.select("doc").unionByName(stars.select(F.col("hub").alias("doc"))).distinct()
-    sets = write_scratch(shingle_sets(docs.join(used, "doc", "left_semi"), size), "shingles")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
-                both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= similarity * max(len(x), len(y)) else 0
-                keep.append(both >= similarity * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], ["a", "b"])
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        found = pairs.join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc").alias("b"), F.col("shingles").alias("y")), "b")
-        return write_scratch(found.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "verified")
-
-    least = stars.groupBy("doc").agg(F.min("hub").alias("hub")).select(F.col("hub").alias("a"), F.col("doc").alias("b"))
-    roots = merged(None, verified(least))
-    a, b = roots.toDF("a", "ra"), roots.toDF("b", "rb")
-    rest = stars.select(F.col("hub").alias("a"), F.col("doc").alias("b")).join(least, ["a", "b"], "left_anti").join(a, "a", "left").join(b, "b", "left")
-    rest = rest.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    roots = merged(roots, verified(rest))
-
-    members = stars.unionByName(stars.select("hub", F.col("hub").alias("doc"))).distinct()
-    level, most = 1, 2
-    while level < most:
-        placed = members.join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
-        mixed = placed.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high AND n > 2").select("hub", "n")
-        placed = placed.drop("n").join(mixed, "hub")
-        if level == 1:  # sketches for those only that are in a mixed group
-            own = write_scratch(sketches(sets.join(placed.select("doc").distinct(), "doc", "left_semi")), "sketches")
-            placed = placed.join(own, "doc")
-        members = write_scratch(placed, "members")
-        most = members.agg(F.max("n")).first()[0] or 0
-        at = F.pmod(F.xxhash64("doc"), F.lit(1 << 40)) * F.col("n") / F.lit(float(1 << 40))
-        level, before = 16 * level, level if level > 1 else 0
-        heads = members.where((at >= before) & (at < level)).select("hub", *[F.col(c).alias(f"{c}_") for c in ("doc", "root", "size", "s0", "s1", "s2", "s3")])
-        differ = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"s{i}_"))) for i in range(4)), F.lit(0))
-        near = (F.least("size", "size_") >= similarity * F.greatest("size", "size_")) & (differ <= SKETCH_RADIUS)
-        pairs = members.join(heads, "hub").where((F.col("root") != F.col("root_")) & near).select(F.least("doc", "doc_").alias("a"), F.greatest("doc", "doc_").alias("b")).distinct()
-        more = verified(pairs) if most else pairs
-        roots = roots if more.isEmpty() else merged(roots, more)
-        members = members.drop("root", "n")
-    return roots
+def joined(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) for each node of the edges that isn't the least of those it is connected with; that one is its root."""
+    nodes, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, root = flat[: len(a)], flat[len(a) :], np.arange(len(nodes))
+    while (root[x] != root[y]).any():
+        low = np.minimum(root[x], root[y])
+        np.minimum.at(root, root[x], low)
+        np.minimum.at(root, root[y], low)
+        while (root[root] != root).any():
+            root = root[root]
+    other = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[other], nodes[root[other]]
+
+
+def cells(members: DataFrame, key: str) -> DataFrame:
+    """The members (``key``, doc, size, s0 to s3) of each group of two or more, where pairs of them meet: once, in the cell (low, high) 0, 0, or, if they are many or
+    large, in a cell for each pair of blocks of the group."""
+    sizes = members.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total")).where("n > 1")
+    blocks = F.greatest(F.ceil(F.col("n") / F.lit(BLOCK)), F.ceil(F.col("total") / F.lit(BLOCK_SHINGLES)))
+    rows = members.join(sizes.select(key, blocks.alias("blocks")), key).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return rows.select(F.col(key).alias("key"), F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "doc", "size", "s0", "s1", "s2", "s3")
+
+
+def by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each cell; they come in order."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        at = np.stack([batch.column(c).to_numpy() for c in ("key", "low", "high")], axis=1)
+        starts = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1).tolist(), len(at)]
+        for i, j in zip(starts[:-1], starts[1:], strict=True):
+            if i == j:
+                continue
+            if held and at[i].tolist() != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(i, j - i))
+            last = at[i].tolist()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def close(cell: pa.Table, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of the pairs of a cell whose sizes and sketches don't rule out this similarity, those with one first position together."""
+    size, block = cell.column("size").to_numpy(), cell.column("block").to_numpy()
+    sketch = np.stack([cell.column(f"s{i}").to_numpy().view(np.uint64) for i in range(SKETCH // 64)], axis=1)
+    whole, step = cell.column("low")[0] == cell.column("high")[0], max(1, CHUNK // len(size))
+    for at in range(0, len(size), step):
+        to, rest = min(len(size), at + step), slice(at, None)
+        differ = sum(ones(sketch[at:to, None, i] ^ sketch[None, rest, i]).astype(np.int16) for i in range(SKETCH // 64))
+        near = (differ <= SKETCH_RADIUS) & (np.minimum(size[at:to, None], size[None, rest]) >= similarity * np.maximum(size[at:to, None], size[None, rest]))
+        a, b = np.nonzero(near)
+        keep = (a < b) if whole else (a < b) & (block[at:][a] != block[at:][b])
+        yield a[keep] + at, b[keep] + at
+
+
+def alike(docs: DataFrame, groups: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(node, root): components of the documents that have this Jaccard similarity of shingles at least, among those of one group in ``groups`` (group, doc).
+
+    All pairs of a group are held against one another, by their lengths and sketches. What these leave connected, in any group, is a family: there all pairs that they leave
+    are held against one another by their shingles, but for those that are connected already. So a document's shingles are sent once, to its family,
+    and a group or a family gives no more rows than it has members, however many pairs are alike."""
+    sizes = groups.groupBy("group").count().where("count > 1").select("group")
+    groups = write_scratch(groups.join(sizes, "group"), "groups")
+    sets = write_scratch(shingle_sets(docs.join(groups.select("doc").distinct(), "doc", "left_semi"), size), "shingles")
+    own = write_scratch(sketches(sets), "sketches")
+
+    def akin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in by_cell(batches):
+            doc, kept = cell.column("doc").to_numpy(), [np.zeros((2, 0), np.int64)]
+            for a, b in close(cell, similarity):
+                kept.append(np.stack(joined(doc[a], doc[b])))
+            a, b = joined(*np.concatenate(kept, axis=1))
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in by_cell(batches):
+            doc, length = cell.column("doc").to_numpy(), cell.column("size").to_numpy()
+            words = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in cell.column("shingles")])
+            kinds, words = np.unique(words, return_inverse=True)
+            starts, root = np.cumsum(length) - length, np.arange(len(doc))
+            has = np.zeros(len(kinds), bool)
+            for first, second in close(cell, similarity):
+                begins = np.flatnonzero(np.r_[True, first[1:] != first[:-1]]) if len(first) else []
+                for i, others in zip(first[begins].tolist(), np.split(second, begins[1:]), strict=True) if len(first) else ():
+                    mine = words[starts[i] : starts[i] + length[i]]
+                    has[mine] = True
+                    others = others[root[others] != root[i]]
+                    for part in np.split(others, np.flatnonzero(np.diff(np.cumsum(length[others]) // CHUNK)) + 1):
+                        if len(part):
+                            took, bounds = ragged(starts[part], length[part])
+                            both = np.add.reduceat(has[words[took]], bounds[:-1], dtype=np.int64)
+                            roots = np.unique(root[np.r_[i, part[both >= similarity * (length[i] + length[part] - both)]]])
+                            if len(roots) > 1:
+                                root[np.isin(root, roots)] = roots[0]
+                    has[mine] = False
+            other = np.flatnonzero(root != np.arange(len(doc)))
+            if len(other):
+                yield pa.RecordBatch.from_arrays([pa.array(doc[other]), pa.array(doc[root[other]])], ["a", "b"])
+
+    dealt = lambda rows: rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    families = write_scratch(components(dealt(cells(groups.join(own, "doc"), "group")).mapInArrow(akin, "a long, b long")), "families")
+    members = cells(families.select(F.col("node").alias("doc"), F.col("root").alias("family")).join(own, "doc"), "family")
+    return write_scratch(components(dealt(members.join(sets, "doc")).mapInArrow(verified, "a long, b long")), "alike")
 
 
 def near_links(docs: DataFrame, seeds: tuple[int, ...] = SEEDS, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """(node, root): components of documents (doc, text) whose shingles of ``size`` words are alike and of which some fingerprints of words, of the whole or of a part, are
-    within the radius."""
+    within the radius, or connected by others."""
     prints = write_scratch(word_fingerprints(docs, seeds).distinct(), "word-fingerprints")
-    least = write_scratch(prints.groupBy("fp").agg(F.min("doc").alias("low"), F.count(F.lit(1)).alias("n")), "distinct-word-fingerprints")
-    near = links(least.select("fp"), width=WORD_BITS)
-    hubs = near.join(least.select(F.col("fp").alias("b"), F.col("low").alias("hub")), "b").select(F.col("a").alias("fp"), "hub")
-    hubs = hubs.unionByName(least.where("n > 1").select("fp", F.col("low").alias("hub")))
-    return alike(docs, prints.join(hubs, "fp").select("hub", "doc"), size, similarity)
+    distinct = write_scratch(prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "distinct-word-fingerprints")
+    roots = write_scratch(components(write_scratch(links(distinct.select("fp"), width=WORD_BITS), "word-links")), "word-roots").toDF("fp", "root")
+    named = distinct.join(roots, "fp", "left").where("root IS NOT NULL OR n > 1").select("fp", F.coalesce("root", "fp").alias("group"))
+    return alike(docs, prints.join(named, "fp").select("group", "doc").distinct(), size, similarity)
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:

@@ -266,3 +266,63 @@ def test_near_duplicates_equal_all_pairs(spark, make):
         a, b = find(a), find(b)
         parent[max(a, b)] = min(a, b)
     assert all(find(a) == find(b) for a, b in found.items())
+
+
+def test_crowded_prefixes_are_parted(monkeypatch):
+    """Fingerprints that share leading bits meet by more of them, and no link is lost."""
+    monkeypatch.setattr(simhash, "ROWS", 16)
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 40, 20)
+    prints = sorted({int(x) ^ sum(1 << int(b) for b in rng.integers(0, 48, int(rng.integers(0, 4)))) for x in base for _ in range(15)})
+    fp = np.array(prints, np.uint64)
+    who, prefix = simhash.prefixes(fp, 8, 48)
+    a, b, most = [], [], 0
+    for p in np.unique(prefix):
+        for bits, longer, own in simhash.narrowed(int(p), fp[who[prefix == p]], 8, 48):
+            most = max(most, bits)
+            for x, y in simhash.meet(np.full(len(own), longer, np.uint64), own, bits, 48):
+                near = (x != y) & (simhash.ones(x ^ y) <= 3)
+                a, b = [*a, *x[near].tolist()], [*b, *y[near].tolist()]
+    node, root = simhash.joined(np.array(a), np.array(b))
+    assert most > 8 and dict(zip(prints, prints, strict=True)) | dict(zip(node.tolist(), root.tolist(), strict=True)) == brute_components(prints, prints)
+
+
+def test_a_dense_group_gives_few_rows(spark):
+    """Of fingerprints that are all close to one another each gets an edge in a task, not one to each hub."""
+    center = 0x5A5A5A5A5A5A
+    prints = sorted({center ^ (1 << i) ^ (1 << j) for i in range(48) for j in range(48)})
+    found = simhash.links(spark.createDataFrame([(x,) for x in prints], "fp long"), width=48).repartition(1).collect()
+    roots = {r.node: r.root for r in components(spark.createDataFrame(found, "a long, b long")).collect()}
+    assert len(roots) == len(prints) and set(roots.values()) == {prints[0]}
+    assert len(found) < 12 * len(prints)
+
+
+@pytest.mark.parametrize("block", [2048, 8])
+def test_all_alike_of_a_group(make, monkeypatch, block):
+    """Documents of one group in many blocks or in one, against all pairs."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = np.random.default_rng(5)
+    base, texts = [f"w{i}" for i in range(120)], []
+    for _ in range(90):  # most pairs are below 0.8, some above, and chains lead from one to another
+        text = list(base)
+        for at in rng.integers(0, 120, int(rng.integers(0, 5))):
+            text[at] = f"x{rng.integers(0, 9)}"
+        texts.append(" ".join(text))
+    texts = list(dict.fromkeys(texts))
+    docs = make(list(enumerate(texts))).selectExpr("doc_id AS doc", "text")
+    groups = docs.selectExpr("doc % 1 AS group", "doc")
+    found = {r.node: r.root for r in simhash.alike(docs, groups, 5, 0.8).collect()}
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for j in range(len(texts)):
+        for i in range(j):
+            if similarity(texts[i], texts[j]) >= 0.8:
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    assert {i: found.get(i, i) for i in range(len(texts))} == {i: find(i) for i in range(len(texts))}
+    assert 1 < len(set(found.values())) or len(found) > 10
