@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import id_fold
+from lexloom.llm.common import id_fold, trimmed
 from lexloom.llm.tokens import by_bytes
 from lexloom.llm.words import indexed
 
@@ -296,7 +296,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             maps = pa.MapArray.from_arrays(pa.array(offsets), pa.array(model.languages * len(held), pa.string()), pa.array(share[held].ravel() if k else np.zeros(0)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), names, pa.array(score), maps], ["doc_id", "lang_pred", "score", "shares"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(trimmed(run), schema)
 
 
 def accept(docs: DataFrame, model: Model, least: float = 0.3, text_col: str = "text") -> DataFrame:
@@ -311,7 +311,7 @@ def accept(docs: DataFrame, model: Model, least: float = 0.3, text_col: str = "t
             share = shared.value.shares(index, bounds, words.to_pylist()) if k else np.zeros((batch.num_rows, 1))
             yield batch.filter(pa.array(has_letter(texts) & (share.max(axis=1) >= least)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
 
 
 def op9_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexloom.llm.common import trimmed
 from lexloom.llm.tokens import by_bytes
 from lexloom.llm.words import hashes, letter_words, rolling
 
@@ -129,7 +130,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
                     share = pa.array([s / (e - b) for s, b, e in zip(same, start, end, strict=True)])
                     yield pa.RecordBatch.from_arrays([*ids, *cols, share], [x.split()[0] for x in LEAKS.split(", ")])
 
-        part = docs.mapInArrow(run, LEAKS)
+        part = docs.mapInArrow(trimmed(run), LEAKS)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -145,7 +146,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
                 keep[[x[0] for x in seeds.value.leaks(hashes(words)[index], bounds, similarity, least)]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(trimmed(run), docs.schema)
     return docs
 
 

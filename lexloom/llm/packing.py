@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexloom.llm import tokens
-from lexloom.llm.common import write_scratch
+from lexloom.llm.common import trimmed, write_scratch
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -116,7 +116,7 @@ def encoded_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, with_
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: len(cols)]
             yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in cols], names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(trimmed(run), schema)
 
 
 def pack(docs: DataFrame, path: str | None = None, capacity: int = 1024, end_id: int = 0, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", splits: int = 1024) -> DataFrame:
@@ -148,7 +148,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = 1024, end_id:
 
     names = [x for x in ranked.columns if x != "rank"]
     schema = ", ".join([f"{x} {ranked.schema[x].dataType.simpleString()}" for x in names] + ["sequence_id long", "offset long"])
-    return ranked.select(*names, "rank").mapInArrow(place, schema)
+    return ranked.select(*names, "rank").mapInArrow(trimmed(place), schema)
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

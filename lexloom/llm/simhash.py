@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import ROW, components, keyed, write_scratch
+from lexloom.llm.common import ROW, components, keyed, trimmed, write_scratch
 from lexloom.llm.tokens import by_bytes, ragged
 from lexloom.llm.words import ascii_words, hashes, mix, rolling
 
@@ -81,7 +81,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = [shingle_fingerprint(text.lower().split(), size, seed) for text in texts]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(found, np.uint64).view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(trimmed(run), "doc_id long, fp long")
 
 
 def flips(bits: range, n: int) -> np.ndarray:
@@ -245,8 +245,8 @@ def links(fps: DataFrame, bits: int | None = None, radius: int = 3, width: int =
         for at in range(0, kept.shape[1], CHUNK):
             yield pa.RecordBatch.from_arrays([pa.array(x[at : at + CHUNK]) for x in kept], ["a", "b"])
 
-    rows = fps.select("fp").mapInArrow(emit, "prefix int, fp long")
-    return rows.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(match, "a long, b long").distinct()
+    rows = fps.select("fp").mapInArrow(trimmed(emit), "prefix int, fp long")
+    return rows.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(trimmed(match), "a long, b long").distinct()
 
 
 def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -326,7 +326,7 @@ def word_fingerprints(docs: DataFrame, seeds: tuple[int, ...]) -> DataFrame:
             doc = pa.array(np.concatenate([np.tile(np.arange(n), len(prints)), who]))
             yield pa.RecordBatch.from_arrays([batch.column("doc").take(doc), pa.array(np.concatenate([*prints, parts]))], ["doc", "fp"])
 
-    return docs.mapInArrow(run, "doc long, fp long")
+    return docs.mapInArrow(trimmed(run), "doc long, fp long")
 
 
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -341,7 +341,7 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
                 out.append(np.unique((found >> np.uint64(32)).astype(np.uint32)).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(out, pa.binary())], ["doc", "shingles"])
 
-    return docs.mapInArrow(run, "doc long, shingles binary")
+    return docs.mapInArrow(trimmed(run), "doc long, shingles binary")
 
 
 def sketches(sets: DataFrame) -> DataFrame:
@@ -363,7 +363,7 @@ def sketches(sets: DataFrame) -> DataFrame:
             longs = np.packbits(out, axis=1, bitorder="little").view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(sizes, pa.int64()), *(pa.array(longs[:, i].copy()) for i in range(4))], ["doc", "size", "s0", "s1", "s2", "s3"])
 
-    return sets.mapInArrow(run, "doc long, size long, s0 long, s1 long, s2 long, s3 long")
+    return sets.mapInArrow(trimmed(run), "doc long, size long, s0 long, s1 long, s2 long, s3 long")
 
 
 def joined(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -469,9 +469,9 @@ def alike(docs: DataFrame, groups: DataFrame, size: int, similarity: float) -> D
                 yield pa.RecordBatch.from_arrays([pa.array(doc[other]), pa.array(doc[root[other]])], ["a", "b"])
 
     dealt = lambda rows: rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    families = write_scratch(components(dealt(cells(groups.join(own, "doc"), "group")).mapInArrow(akin, "a long, b long")), "families")
+    families = write_scratch(components(dealt(cells(groups.join(own, "doc"), "group")).mapInArrow(trimmed(akin), "a long, b long")), "families")
     members = cells(families.select(F.col("node").alias("doc"), F.col("root").alias("family")).join(own, "doc"), "family")
-    return write_scratch(components(dealt(members.join(sets, "doc")).mapInArrow(verified, "a long, b long")), "alike")
+    return write_scratch(components(dealt(members.join(sets, "doc")).mapInArrow(trimmed(verified), "a long, b long")), "alike")
 
 
 def near_links(docs: DataFrame, seeds: tuple[int, ...] = SEEDS, size: int = 5, similarity: float = 0.8) -> DataFrame:
