@@ -1,6 +1,7 @@
 """Sharding, packing and the id files."""
 
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -88,6 +89,31 @@ def test_encode_equals_the_library(texts):
     assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [w + [0] for w in whole]
 
 
+PIECE = st.text(alphabet=st.sampled_from("abZéß0_'.,!)(-^`~²\u0301"), min_size=1, max_size=5)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(PIECE, st.sampled_from([" ", "\n", " ", "\n\n", "\t", "\r\n", " \n", "  "])), max_size=30), st.lists(st.integers(0, 30), max_size=3))
+def test_cut_words_equal_the_library(pieces, cuts):
+    path, bounds = tokens.default_path(), [0, *sorted(cuts), len(pieces)]
+    texts = ["".join(x + y for x, y in pieces[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    ids, at = tokens.encode(path, pa.array(texts, pa.string()))
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [tokens.tokenizer(path).encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_words_are_encoded_once_whatever_stands_around_them(monkeypatch):
+    """The library is asked for a word once, not again for each sign behind it or for each word that it shares a line's end with."""
+    asked = []
+    fresh = tokens._fresh
+    monkeypatch.setattr(tokens, "_fresh", lambda path, words, *lead: asked.extend(words.to_pylist()) or fresh(path, words, *lead))
+    monkeypatch.setattr(tokens, "_known", lru_cache(tokens._known.__wrapped__))
+    words = [f"wo{a}{b}" for a in "abcdefgh" for b in "abcdefgh"]
+    text = "begin " + " ".join(f"{a}{sign}\n{b}{sign}" for a in words for b, sign in zip(words, "., ! ;) :" * 8, strict=False) if sign != " ")
+    ids, _ = tokens.encode(tokens.default_path(), pa.array([text]))
+    assert ids.tolist() == tokens.tokenizer(tokens.default_path()).encode(text, add_special_tokens=False).ids
+    assert len(asked) <= 2 * len(words) + 10
+
+
 def naive_best_fit(lengths, capacity):
     rooms = []
     for n in sorted(lengths, reverse=True):
