@@ -33,6 +33,36 @@ def test_planted_passages(make):
     assert r.start <= 36 and r.end >= 109 and 0.85 < r.similarity < 1
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet=st.sampled_from("abZÉßñ中İ09_.,- \n\u0301"), max_size=12)), max_size=6), st.sampled_from(["", "—", "“a”", "😀"]), st.integers(0, 2))
+def test_words_by_bytes_equal_the_regex(texts, other, skipped):
+    import pyarrow as pa
+    import regex
+
+    from lexloom.llm import words
+
+    texts = [*texts, other]
+    index, bounds, found = words.letter_words(pa.array(["é skipped"] * skipped + texts).slice(skipped))
+    got = [[found[i].as_py() for i in index[a:b].tolist()] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    lower = pa.compute.utf8_lower(pa.array([t or "" for t in texts])).to_pylist()
+    assert got == [regex.findall(r"[\p{L}\p{M}\p{N}]+", t) for t in lower]
+
+
+def test_words_are_cut_without_a_regex_and_hubs_without_stretches(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from lexloom.llm import words
+
+    monkeypatch.setattr(words.pc, "split_pattern_regex", None)
+    index, bounds, found = words.letter_words(pa.array(["Été, le 3 mai.", None, "le\n\nete"]))
+    assert [found[i].as_py() for i in index.tolist()] == ["été", "le", "3", "mai", "le", "ete"] and bounds.tolist() == [0, 4, 4, 6]
+    values, at = words.mix(np.arange(300, dtype=np.uint64) % np.uint64(90)), np.array([0, 120, 300])
+    with_, without = passages.seeds(values, at, 33), passages.seeds(values, at, 0)
+    assert all((a == b).all() for a, b in zip(with_[:3], without[:3], strict=True))
+    assert with_[3].any() and not without[3].any()
+
+
 def test_passages_of_all_documents_equal_brute_force(spark):
     sf = "/root/testdata/sf0.01"
     found = {r.doc_id for r in passages.op3_chained_passages(spark, sf).collect()}
