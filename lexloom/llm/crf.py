@@ -37,6 +37,8 @@ SEQUENCES, LENGTH, EPOCHS, BATCH, RATE = 6000, 64, 4, 500, 0.3
 #: Hashed features, and words of each lexicon.
 BUCKETS, LEXICON = 1 << 16, 300
 SEGMENT = 128
+#: Words whose features are held at a time.
+WORDS = 1 << 14
 OPEN, CLOSE = 2, 3
 
 
@@ -89,9 +91,13 @@ class Model:
     lexicons: dict[str, int]  # word: set of languages as bits
 
     def emissions(self, words: list[str]) -> np.ndarray:
-        who, what = features(words)
         k = len(self.languages)
-        out = np.stack([np.bincount(who, self.weights[what, j], len(words)) for j in range(k)], axis=1)
+        out = np.empty((len(words), k))
+        for at in range(0, len(words), WORDS):
+            some = words[at : at + WORDS]
+            who, what = features(some)
+            for j in range(k):
+                out[at : at + len(some), j] = np.bincount(who, self.weights[what, j], len(some))
         for i, bits in ((i, self.lexicons[w]) for i, w in enumerate(words) if w in self.lexicons):
             out[i] += sum(self.weights[BUCKETS + j] for j in range(k) if bits >> j & 1)
         return out

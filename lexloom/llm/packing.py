@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from lexloom.llm import tokens
 from lexloom.llm.common import trimmed, write_scratch
 
+#: Text bytes that are encoded at a time: the arrays beside them take many times as much, in each Python worker of an executor.
+PART_BYTES = 2 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -105,7 +107,7 @@ def encoded_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, with_
     schema = PIECES + (", ids array<int>" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in tokens.by_bytes(whole, "text", tokens.ENCODE_BYTES)):
+        for batch in (part for whole in batches for part in tokens.by_bytes(whole, "text", PART_BYTES)):
             ids, bounds = tokens.encode(path, batch.column("text"), end_id)
             doc, start, length = cut(np.diff(bounds), capacity)
             at, view = bounds[doc] + start, memoryview(ids.astype("<u4", copy=False)).cast("B")

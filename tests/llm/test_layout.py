@@ -1,7 +1,10 @@
 """Sharding, packing and the id files."""
 
+import subprocess
+import sys
 import zlib
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -114,6 +117,72 @@ def test_words_are_encoded_once_whatever_stands_around_them(monkeypatch):
     assert len(asked) <= 2 * len(words) + 10
 
 
+def test_the_library_is_given_little_at_a_time_and_known_words_are_not_hashed(monkeypatch):
+    """Neither what the library holds nor what is looked up grows with a batch, or with all that a worker has seen."""
+    path, given, hashed = tokens.default_path(), [], []
+    real, index_in = tokens.tokenizer(path), tokens.pc.index_in
+
+    class Told:
+        def __getattr__(self, name):
+            return getattr(real, name)
+
+        def encode_batch_fast(self, texts, **options):
+            given.append(sum(len(x.encode()) for x in texts))
+            return real.encode_batch_fast(texts, **options)
+
+    assert tokens.cuts(path) and len(tokens.byte_lengths(path))
+    monkeypatch.setattr(tokens, "tokenizer", lambda _: Told())
+    monkeypatch.setattr(tokens, "_known", lru_cache(tokens._known.__wrapped__))
+    monkeypatch.setattr(tokens.pc, "index_in", lambda values, value_set: hashed.append(len(value_set)) or index_in(values, value_set=value_set))
+    made = [" ".join(f"{'abcdefg'[i % 7]}{i * 7919:x}" for i in range(60_000)), *[f"two  spaces {i} " * 100 for i in range(700)]]
+    ids, _ = tokens.encode(path, pa.array(made))
+    assert ids.tolist() == [x for e in real.encode_batch(made, add_special_tokens=False) for x in e.ids]
+    assert max(given) <= 1 << 18 and sum(given) > 1 << 20
+    hashed.clear()
+    tokens.encode(path, pa.array(["few new words, and a0"]))
+    assert max(hashed) <= 5
+
+
+MEMORY = """
+import threading, time
+import numpy as np, pyarrow as pa
+from lexloom.llm import packing, tokens
+
+class Docs:
+    def __getattr__(self, name):
+        return lambda *parts, **named: self
+    def mapInArrow(self, run, schema):
+        self.run = run
+
+def own():
+    size, shared = map(int, open("/proc/self/statm").read().split()[1:3])
+    return (size - shared) * 4096 / 1e6
+
+packing.F, docs, most = Docs(), Docs(), [0.0]
+packing.encoded_pieces(docs, tokens.default_path(), 1024, 0, False, "doc_id", "text")
+words = np.array([f"{'abcdefg'[i % 7]}{i * 7919:x}" for i in range(100_000)])
+texts = [" ".join(words[np.random.default_rng(i).integers(0, len(words), 300)]) for i in range(5000)]
+few, many = (pa.record_batch([pa.array(range(len(x))), pa.array(x)], ["doc_id", "text"]) for x in (texts[:10], texts))
+list(docs.run(iter([few])))
+before = own()
+
+def watch():
+    while True:
+        most[0] = max(most[0], own())
+        time.sleep(0.002)
+
+threading.Thread(target=watch, daemon=True).start()
+list(docs.run(iter([many])))
+print(most[0] - before)
+"""
+
+
+def test_packing_takes_little_memory_for_a_batch():
+    """10 MB of text in one batch: two workers of an executor do this side by side."""
+    found = subprocess.run([sys.executable, "-c", MEMORY], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2], timeout=120)
+    assert float(found.stdout) < 150
+
+
 def naive_best_fit(lengths, capacity):
     rooms = []
     for n in sorted(lengths, reverse=True):

@@ -245,3 +245,13 @@ def test_toxicity_odd(spark, odd, empty):
     assert toxicity.score(empty, model).count() == 0
     assert {r.score for r in toxicity.score(odd, toxicity.train(odd, labels.where("toxic = 0"))).collect()} == {0.0}
     assert toxicity.train(empty, labels).weights is None
+
+
+def test_features_are_held_for_a_bounded_number_of_words(monkeypatch):
+    model = crf.fit([("en", "the house and the words of it"), ("de", "das haus und die worte darin")])
+    words, real, held = [f"wort{i}" for i in range(40_000)], crf.features, []
+    monkeypatch.setattr(crf, "features", lambda some: held.append(len(some)) or real(some))
+    found = model.emissions(words)
+    assert max(held) <= 1 << 14 and sum(held) == len(words)
+    who, what = real(words)
+    assert all((found[:, j] == np.bincount(who, model.weights[what, j], len(words))).all() for j in range(2))
