@@ -137,6 +137,24 @@ def test_a_passage_whose_pieces_lie_in_many_earlier_documents(make):
         assert [(r.doc_id, r.other_id, r.agreeing) for r in found if r.doc_id > 99] == [(101, 100, 80)]
 
 
+@pytest.mark.parametrize("copies", [1, 6])
+def test_a_fuzzy_passage_whose_pieces_lie_in_many_earlier_documents(make, monkeypatch, copies):
+    """Two pairs of long documents share 80 words, but for every twentieth; lesser documents hold 24 of them each, and so all seeds: few for each, or more than are compared with one another."""
+    monkeypatch.setattr(passages, "HOLDERS", 64 if copies == 1 else 4)
+    rng = np.random.default_rng(12)
+    rows, expected = [], set()
+    for n in (0, 1000):
+        passage = words(rng, 80)
+        edited = [f"changed{i}" if i % 20 == 10 else w for i, w in enumerate(passage)]
+        for i in range(29 * copies):
+            at = 2 * (i % 29)
+            rows.append((n + i, " ".join([*words(rng, 40), *(passage[at : at + 24] if i % 2 else edited[at : at + 24]), *words(rng, 40)])))
+        rows += [(n + 900, " ".join([*words(rng, 90), *passage, *words(rng, 50)])), (n + 901, " ".join([*words(rng, 33), *edited, *words(rng, 50)]))]
+        expected.add((n + 901, n + 900, 76))
+    found = passages.passages(make(rows)).collect()
+    assert {(r.doc_id, r.other_id, r.agreeing) for r in found} == expected and len(found) == len(expected)
+
+
 def test_forty_equal_words_whose_stretches_lie_in_earlier_documents(make):
     """Two documents share forty words, of which lesser ones hold the first and the last 36: the least with any stretch of 33 never holds the whole."""
     rng = np.random.default_rng(9)
