@@ -63,6 +63,25 @@ def test_words_are_cut_without_a_regex_and_hubs_without_stretches(monkeypatch):
     assert with_[3].any() and not without[3].any()
 
 
+def test_seeds_are_found_once_and_hubs_in_their_order(make, spark, monkeypatch):
+    """Seeds that go on over many batches keep their first place; texts are cut into seeds once."""
+    rng = np.random.default_rng(3)
+    calls, real = [], passages.seed_rows
+    monkeypatch.setattr(passages, "seed_rows", lambda *a: calls.append(1) or real(*a))
+    text = words(rng, 60)
+    assert passages.passages(make([(i, " ".join(text)) for i in range(3)])).count() == 2 and len(calls) == 1
+    rows = [(int(s), int(d), int(p), 0) for s, d, p in zip(rng.integers(0, 12, 300), rng.integers(0, 9, 300), range(300), strict=True)] + [(50, 7, i, 0) for i in range(20)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        found = passages.shared_seeds(spark.createDataFrame(rows, "seed long, doc long, place int, stretch long")).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    own = {s: sorted((d, p) for t, d, p, _ in rows if t == s) for s in {r[0] for r in rows}}
+    expected = {(s, d, p, *o[0], len(o) > 2) for s, o in own.items() if o[0][0] != o[-1][0] for d, p in o}
+    assert {(r.seed, r.doc, r.place, r.hub, r.hub_place, r.many) for r in found} == expected and len(found) == len(expected)
+
+
 def test_passages_of_all_documents_equal_brute_force(spark):
     sf = "/root/testdata/sf0.01"
     found = {r.doc_id for r in passages.op3_chained_passages(spark, sf).collect()}
